@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.llm.common import table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.simhash import near_duplicates
 
@@ -21,6 +39,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("n_lines", "n_letters")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
