@@ -16,6 +16,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An owner is a source; its repositories are told apart by language."""
+    from codeloom.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.token_counts import token_counts
 
@@ -48,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("n_lines", "n_letters")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op6_url_reputation, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_ownership, op4_token_counts, op6_url_reputation, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
 
 _TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
