@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import components, materialize, union_all
@@ -93,10 +93,9 @@ def near_links(fps: DataFrame, radius: int = 4, dense: int = 256, whole: bool =
     parts = fps.select("fp", parts.alias("p")).select("fp", "p.*")
     near = parts.select("fp", "half", "own", "rest", _around(F.col("own"), 32, radius // 4).alias("key"))
     keys = ["half", "key"]
-    met = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("hub"), F.max("fp").alias("other"))
-    met = materialize(met.filter("n > 1"), "met")
-    two = met.filter("n = 2").select("hub", "other").filter(_differs("hub", "other") <= radius)
-    more = materialize(near.join(met.filter("n > 2").select(*keys, "n"), keys), "more")
+    # One shuffle: the rows of a point stream past their count, and most points have one row.
+    met = near.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    more = materialize(met.filter("n > 1"), "met")
     few = more.filter(F.col("n") <= dense)
     a = few.select(*keys, F.col("fp").alias("hub"), F.col("own").alias("own_a"))
     b = few.select(*keys, F.col("fp").alias("other"), F.col("own").alias("own_b"))
@@ -105,7 +104,7 @@ def near_links(fps: DataFrame, radius: int = 4, dense: int = 256, whole: bool =
         # Of the points where a pair meets, one counts: the first one's, its lowest differing bit flipped.
         x = F.col("own_a").bitwiseXOR(F.col("own_b"))
         on &= a["key"] == F.col("own_a").bitwiseXOR(x.bitwiseAND(F.bitwise_not(x) + 1))
-    links = [two, a.join(b, on).select("hub", "other")]
+    links = [a.join(b, on).select("hub", "other")]
     if not more.filter(F.col("n") > dense).isEmpty():
         many = more.filter(F.col("n") > dense).withColumn("moved", F.bit_count(F.col("own").bitwiseXOR(F.col("key"))))
         links.append(_stars(union_all([many.filter(F.col("moved") == m).select("fp", *keys, _around(F.col("rest"), 32, radius // 2 - m).alias("point")) for m in range(radius // 4 + 1)]), [*keys, "point"]))
