@@ -54,7 +54,7 @@ def _stamp(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, u: str, v: str, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
-    ``edges``: undirected pairs of longs in columns ``u`` and ``v``; loops, repeats and null
+    ``edges``: undirected pairs of any type with an order in columns ``u`` and ``v``; loops, repeats and null
     ends are ignored. Returns (node, root), root the smallest node of the component, one
     row for each node that has an edge and is not a root itself. Only minima per
     node are aggregated (combined before the shuffle), no neighbour list is ever gathered;
