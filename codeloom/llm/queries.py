@@ -22,6 +22,12 @@ def op1_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An owner is a source; its repositories are told apart by language."""
     from codeloom.llm.secret_scan import scan
@@ -61,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("n_lines", "n_letters")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_epsilon_grid_join, op3_secret_ownership, op4_token_counts, op6_url_reputation, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_epsilon_grid_join, op2_pii_boosted, op3_secret_ownership, op4_token_counts, op6_url_reputation, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
 
 _TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
