@@ -83,7 +83,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
 
 
 def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the measures, then the columns named in ``keep``), one row per input row."""
+    """(doc_id, the measures, then the columns named in ``keep`` as kept_0, ...), one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(MEASURES))), *batch.columns[2:]], [*_SCHEMA.names, *batch.schema.names[2:]])
 
     kept = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *kept)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *kept)
     extra = "".join(f", {c} {t}" for c, t in rows.dtypes[2:])
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + extra)
 
@@ -135,3 +135,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pol
     ignored, whatever their names; an empty table gives an empty result. The plan has no shuffle.
     """
     return apply_policy(ledger(measurements(docs, id_col, text_col)), policy)
+
+
+def passed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: str = CURRENT) -> DataFrame:
+    """The rows of ``docs``, all columns, that the policy keeps."""
+    names = docs.columns
+    kept = apply_policy(ledger(measurements(docs, id_col, text_col, tuple(names))), policy).filter("kept")
+    return kept.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)))

@@ -129,3 +129,20 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     done = F.aggregate(F.array_sort(spans), start, step)
     whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with every span replaced in the text and the length, if there is such a column, counted anew.
+
+    Only texts that hold a span are moved; the others pass through.
+    """
+    names = docs.columns
+    small = materialize(found(docs, id_col, text_col, owner_col, repo_cols).drop("text"), "found")
+    live = materialize(_live(small, max_owners), "live")
+    rows = found(docs, id_col, text_col, owner_col, repo_cols, tuple(names))
+    some = rows.filter("key IS NOT NULL").join(live, "key", "left")
+    more = F.filter(F.coalesce("live", F.array().cast(_SPAN)), lambda s: s["rank"] == 3)
+    new = redacted(F.col("text"), F.concat("base", more))
+    column = lambda i, c, clean: (new if c == text_col else F.length(new).cast(docs.schema[c].dataType) if c == length_col else F.col(f"kept_{i}")) if clean else F.col(f"kept_{i}")
+    parts = [df.select(*(column(i, c, clean).alias(c) for i, c in enumerate(names))) for df, clean in ((rows.filter("key IS NULL"), False), (some, True))]
+    return parts[0].unionByName(parts[1])

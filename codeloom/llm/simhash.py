@@ -50,16 +50,17 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row, fp the signed form of the 64 bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, then the columns named in ``keep`` as kept_0, ...): one row per input row, fp the signed form of the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return pair.mapInArrow(run, "doc_id long, fp long")
+    kept = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *kept)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} {t}" for c, t in rows.dtypes[2:]))
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -123,9 +124,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their names; an empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(near_links(classes.select("fp"), radius, dense, whole), "hub", "other")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows, radius, dense, whole)
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _rooted(rows: DataFrame, radius: int, dense: int, whole: bool) -> DataFrame:
+    """(fp, least, root): every distinct fingerprint, its smallest id and its component."""
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(near_links(classes.select("fp"), radius, dense, whole), "hub", "other")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, dense: int = 256) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each component: that of the smallest non-null id.
+
+    A component whose ids are all null keeps a row too; of repeated rows of the chosen id one stays.
+    """
+    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
+    chosen = _rooted(rows, radius, dense, False).groupBy("root").agg(first).select(F.col("first.least").alias("chosen_id"), F.col("first.fp").alias("chosen_fp"))
+    chosen = materialize(chosen, "chosen")
+    names = docs.columns
+    mine = lambda df: df.join(chosen.hint("merge"), df["doc_id"].eqNullSafe(chosen["chosen_id"]) & (df["fp"] == chosen["chosen_fp"]), "left_semi")
+    kept = mine(fingerprints(docs, id_col, text_col, tuple(names)))
+    if not mine(rows).groupBy("doc_id", "fp").count().filter("count > 1").isEmpty():
+        one = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64(*(c for c in kept.columns if c.startswith("kept_"))))
+        kept = kept.withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    return kept.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)))
