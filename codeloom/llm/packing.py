@@ -12,10 +12,8 @@ pieces then find their place by their rank among pieces of equal length.
 from __future__ import annotations
 
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +21,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import materialize
+from codeloom.llm.memo import WordMemo
 
 CAPACITY, SEPARATOR = 2048, 0
-_GROUP_WORDS, _MEMO = 1 << 17, 600_000
 
 
-class ChunkCoder:
+class ChunkCoder(WordMemo):
     """Token ids of texts, by chunks between ASCII white space.
 
     The tokenizer's normalizer and splitter keep nothing across white space, so the
-    ids of a text are those of its chunks in a row; each chunk is encoded once and remembered, up to a
-    bound on the memo, after which it starts anew.
+    ids of a text are those of its chunks in a row.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,62 +39,21 @@ class ChunkCoder:
         self.tokenizer = Tokenizer.from_file(path)
         one = ((c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in "þðŋʃʒəßøœæq")
         self.mark, (self.mark_id, *_) = next(x for x in one if len(x[1]) == 1)
-        self._clear()
+        super().__init__()
 
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+    def words(self, text: bytes) -> list[bytes]:
+        return text.split()
 
-    def _ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Their ids in a row and where each one's end. Joined by a word of one token that none has, so that one call encodes many."""
-        text = [c.decode() for c in chunks]
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Joined by a word of one token that none has, so that one call encodes many."""
+        text = [w.decode() for w in words]
         ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(text)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ids == self.mark_id)
-        if len(cuts) == len(chunks) - 1:
+        if len(cuts) == len(words) - 1:
             return np.delete(ids, cuts), np.concatenate([cuts - np.arange(len(cuts)), [len(ids) - len(cuts)]])
         each = [x.ids for x in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
         return np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        for k in range(0, len(chunks), 256):
-            part = chunks[k : k + 256]
-            ids, ends = self._ids(part)
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-            self.ends.frombytes((ends.astype(np.int64) + self.ends[-1]).tobytes())
-            self.ids.frombytes(ids.tobytes())
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit arrays."""
-        group: list[list[bytes]] = []
-        size = 0
-        for text in texts:
-            group.append(text.split())
-            size += len(group[-1])
-            if size >= _GROUP_WORDS:
-                yield from self._encode(group)
-                group, size = [], 0
-        yield from self._encode(group)
-
-    def _encode(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
-        if len(self.known) > _MEMO:
-            self._clear()
-        words = [w for x in group for w in x]
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if len(new := np.flatnonzero(at < 0)):
-            fresh = [words[i] for i in new]
-            self._learn(list(dict.fromkeys(fresh)))
-            at[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
-        ends = np.frombuffer(self.ends, np.int64)
-        first = ends[at]
-        n = ends[at + 1] - first
-        done = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(first - done[:-1], n) + np.arange(done[-1])] if done[-1] else np.zeros(0, np.uint32)
-        del ends
-        k = 0
-        for x in group:
-            yield ids[done[k] : done[k + len(x)]]
-            k += len(x)
-
 
 _coders: dict[str, ChunkCoder] = {}
 
