@@ -41,6 +41,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.sentencepiece_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome: its label, good where it is of quality and not toxic."""
     from codeloom.llm.url_filter import judge
@@ -67,7 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("n_lines", "n_letters")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_epsilon_grid_join, op2_pii_boosted, op3_secret_ownership, op4_token_counts, op6_url_reputation, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_epsilon_grid_join, op2_pii_boosted, op3_secret_ownership, op4_token_counts, op5_sentencepiece_round_trip, op6_url_reputation, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
 
 _TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
