@@ -55,6 +55,12 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeloom.llm.context_mixing import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.packing import pack
 
@@ -73,7 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("n_lines", "n_letters")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_epsilon_grid_join, op2_pii_boosted, op3_secret_ownership, op4_token_counts, op5_sentencepiece_round_trip, op6_url_reputation, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_epsilon_grid_join, op2_pii_boosted, op3_secret_ownership, op4_token_counts, op5_sentencepiece_round_trip, op6_url_reputation, op7_context_mixing, op8_best_fit_packing, op9_simhash_near_dedup, op10_quality_rules)}
 
 _TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
