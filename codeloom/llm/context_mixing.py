@@ -15,7 +15,6 @@ vocabulary (of bounded size), the others are joined with the table of counts.
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -70,27 +69,43 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _codes(weights: np.ndarray) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
-    """Huffman paths (node, bit) of symbols, and the log-odds of bit 1 at each node."""
+def _codes(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman paths of symbols: their lengths, all nodes and all bits in a row; and the log-odds of bit 1 at each node.
+
+    Two queues, of sorted leaves and of joined nodes, whose weights only grow.
+    """
     n = len(weights)
-    heap = [(int(w), i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    up, bit, odds, node = [0] * max(1, 2 * n - 1), [0] * max(1, 2 * n - 1), [], n
-    while len(heap) > 1:
-        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-        up[i] = up[j] = node
-        bit[j] = 1
+    order = np.argsort(weights, kind="stable")
+    leaf, total = weights[order].tolist(), []
+    up, bit, odds = np.zeros(max(1, 2 * n - 1), np.int64), np.zeros(max(1, 2 * n - 1), np.uint8), []
+    i = j = 0
+    for node in range(n, 2 * n - 1):
+        pair = []
+        for _ in range(2):
+            if i < n and (j >= len(total) or leaf[i] <= total[j]):
+                pair.append((leaf[i], int(order[i])))
+                i += 1
+            else:
+                pair.append((total[j], n + j))
+                j += 1
+        (a, x), (b, y) = pair
+        up[x] = up[y] = node
+        bit[y] = 1
         odds.append(np.log((b + 0.4) / (a + 0.4)))
-        heapq.heappush(heap, (a + b, node))
-        node += 1
-    paths = []
-    for i in range(n):
-        path = []
-        while i != node - 1:
-            path.append((up[i] - n, bit[i]))
-            i = up[i]
-        paths.append(path[::-1])
-    return paths, np.array(odds, np.float32)
+        total.append(a + b)
+    depth = np.zeros(max(1, 2 * n - 1), np.int64)
+    for node in range(2 * n - 3, -1, -1):
+        depth[node] = depth[up[node]] + 1
+    lengths = depth[:n]
+    nodes, bits = np.zeros(lengths.sum(), np.int32), np.zeros(lengths.sum(), np.uint8)
+    at, here = np.cumsum(lengths) - 1, np.arange(n)
+    alive = lengths > 0
+    while alive.any():
+        nodes[at[alive]], bits[at[alive]] = up[here[alive]] - n, bit[here[alive]]
+        here[alive] = up[here[alive]]
+        at[alive] -= 1
+        alive &= here < 2 * n - 2
+    return lengths, nodes, bits, np.array(odds, np.float32)
 
 
 @dataclass
@@ -243,13 +258,12 @@ def _model(counts: DataFrame) -> Model:
     spelled = np.zeros(257, np.int64)
     for r in rare.collect():
         spelled[r["byte"]] = r["n"]
-    paths, own = _codes(np.array([*(max(1, n) for n, _ in known), spelled[256] + 1]))
-    letters, own_letters = _codes(spelled[:256] + 1)
-    paths += [[(node + len(own), bit) for node, bit in path] for path in letters]
-    start = np.cumsum([0, *map(len, paths)])
-    flat = np.array([x for p in paths for x in p], np.int32).reshape(-1, 2)
+    lengths, nodes, bits, own = _codes(np.array([*(max(1, n) for n, _ in known), spelled[256] + 1], np.int64))
+    more, letters, last, own_letters = _codes(spelled[:256] + 1)
+    start = np.concatenate([[0], np.cumsum(lengths), lengths.sum() + np.cumsum(more)])
+    nodes, bits = np.concatenate([nodes, letters + np.int32(len(own))]), np.concatenate([bits, last])
     logs = np.log10(np.array([n + 1.0 for n, _ in known]))
-    return Model([w for _, w in known], logs, start, np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.uint8), np.clip(np.concatenate([own, own_letters]), -8, 8))
+    return Model([w for _, w in known], logs, start, nodes, bits, np.clip(np.concatenate([own, own_letters]), -8, 8))
 
 
 def _grouped(model: Model, texts: list[list[bytes]]) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
