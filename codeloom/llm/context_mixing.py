@@ -33,7 +33,7 @@ END = b"\n"  # no word holds white space
 VOCABULARY, SLOTS, SAMPLE, SAMPLE_BYTES = 1 << 18, 20, 200, 1 << 16
 #: Symbols between two updates of a text's weights, words in one step of work; words counted before they are passed on.
 SEGMENT, WORK, FLUSH = 512, 1 << 15, 500_000
-RATE, OFTEN, GATES, BLOCK = 0.3, 4, 4, 1 << 12
+RATE, OFTEN, GATES, BLOCK = 1.0, 4, 4, 1 << 12
 FOLDS, HELD = 7, 2
 
 
@@ -120,7 +120,7 @@ class Model:
     own: np.ndarray
     tables: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << SLOTS), np.float32))
     often: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << SLOTS), np.uint8))
-    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.4, 0.4, 0.3], np.float32), (GATES, 1)))
+    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.3, 0.5, 0.5], np.float32), (GATES, 1)))
 
     def __post_init__(self) -> None:
         self.of = {w: i for i, w in enumerate(self.words)}
@@ -150,16 +150,26 @@ class Model:
         return out, np.repeat(owner, takes)
 
     def contexts(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the last and of the last two symbols of each symbol's text, and its place there."""
+        """Hashes of two contexts of each symbol, and its place in its text.
+
+        Of a word the last symbol, and the last two; of a spelled byte the last two, and the last four.
+        """
         begin = np.flatnonzero(np.diff(owner, prepend=-1))
         place = np.arange(len(symbols)) - np.repeat(begin, np.diff(begin, append=len(symbols)))
-        last = np.concatenate([[0], symbols[:-1] + 2]).astype(np.uint32)
-        last[begin] = 1
-        before = np.concatenate([[0], last[:-1]]).astype(np.uint32)
-        before[place == 0] = 1
-        one = last * np.uint32(0x9E3779B1)
-        two = one ^ (before * np.uint32(0x85EBCA6B))
+        past, seen = (symbols + 2).astype(np.uint32), []
+        for k in range(1, 5):
+            past = np.concatenate([[1], past[:-1]]).astype(np.uint32)
+            past[place < k] = 1
+            seen.append(past)
+        one = seen[0] * np.uint32(0x9E3779B1)
+        two = one ^ (seen[1] * np.uint32(0x85EBCA6B))
         two ^= two >> np.uint32(15)
+        letter = np.flatnonzero(symbols > len(self.words))
+        deep = two[letter] * np.uint32(0x2C1B3C6D)
+        deep ^= seen[2][letter] * np.uint32(0x297A2D39)
+        deep ^= deep >> np.uint32(13)
+        deep = deep * np.uint32(0x85EBCA6B) ^ seen[3][letter] * np.uint32(0x9E3779B1)
+        one[letter], two[letter] = two[letter], deep ^ (deep >> np.uint32(15))
         return one, two, place
 
     def decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
