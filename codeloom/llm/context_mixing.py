@@ -16,7 +16,7 @@ vocabulary (of bounded size), the others are joined with the table of counts.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -33,7 +33,7 @@ END = b"\n"  # no word holds white space
 VOCABULARY, SLOTS, SAMPLE, SAMPLE_BYTES = 1 << 18, 20, 200, 1 << 16
 #: Symbols between two updates of a text's weights, words in one step of work; words counted before they are passed on.
 SEGMENT, WORK, FLUSH = 512, 1 << 15, 500_000
-RATE, OFTEN, GATES, BLOCK = 1.0, 4, 4, 1 << 12
+RATE, OFTEN, GATES, BLOCK, COUNTED = 1.0, 4, 4, 1 << 12, 1 << 22
 FOLDS, HELD = 7, 2
 
 
@@ -189,13 +189,18 @@ class Model:
             slots.append(h.view(np.int32))
         return node, self.bits[at], slots[0], slots[1], n
 
-    def count(self, symbols: np.ndarray, owner: np.ndarray, found: np.ndarray) -> None:
-        """Adds the decisions to found [table, slot and bit]."""
+    def slots(self, symbols: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+        """For each table, slot and bit of all decisions in one number."""
         one, two, _ = self.contexts(symbols, owner)
         _, bit, *slots, _ = self.decisions(symbols, one, two)
-        for t, slot in enumerate(slots):
+        for slot in slots:
             slot <<= 1
             slot |= bit
+        return slots
+
+    def count(self, symbols: np.ndarray, owner: np.ndarray, found: np.ndarray) -> None:
+        """Adds the decisions to found [table, slot and bit]."""
+        for t, slot in enumerate(self.slots(symbols, owner)):
             found[t] += np.bincount(slot, minlength=2 << SLOTS)
 
     def learn(self, found: np.ndarray) -> None:
@@ -276,16 +281,23 @@ def _model(counts: DataFrame) -> Model:
     return Model([w for _, w in known], logs, start, nodes, bits, np.clip(np.concatenate([own, own_letters]), -8, 8))
 
 
-def _grouped(model: Model, texts: list[list[bytes]]) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
-    """Texts that are worked at once: the first, the one after the last, their words, the words' numbers and texts."""
-    escape, begin, words = len(model.words), 0, []
-    for k, own in enumerate(texts):
+def _grouped(model: Model, texts: Iterable[bytes | None]) -> Iterator[tuple[list[int], list[bytes], np.ndarray, np.ndarray]]:
+    """Texts that are worked at once: how many tokens each has, their words, and the words' numbers and texts. Only one group's words are held."""
+    escape, sizes, words = len(model.words), [], []
+
+    def group() -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+        ids = np.fromiter(map(model.of.get, words, repeat(escape)), np.int64, len(words))
+        return sizes, words, ids, np.repeat(np.arange(len(sizes)), sizes)
+
+    for text in texts:
+        own = tokens(text)
+        sizes.append(len(own))
         words += own
-        if len(words) >= WORK or k == len(texts) - 1:
-            ids = np.fromiter(map(model.of.get, words, repeat(escape)), np.int64, len(words))
-            owner = np.repeat(np.arange(k + 1 - begin), np.fromiter(map(len, texts[begin : k + 1]), np.int64, k + 1 - begin))
-            yield begin, k + 1, words, ids, owner
-            begin, words = k + 1, []
+        if len(words) >= WORK:
+            yield group()
+            sizes, words = [], []
+    if sizes:
+        yield group()
 
 
 def _tables(rows: DataFrame, model: Model) -> np.ndarray:
@@ -296,20 +308,37 @@ def _tables(rows: DataFrame, model: Model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        found = np.zeros((2, 2 << SLOTS), np.int64)
-        some = False
+        found = np.zeros((2, 2 << SLOTS), np.int32)  # of one task: fewer than 2^31
+        some, held, size = False, ([], []), 0
+
+        def add_up() -> None:
+            # A pass over the whole table costs as much as a few million decisions.
+            for t in range(2):
+                found[t] += np.bincount(np.concatenate(held[t]), minlength=2 << SLOTS)
+                held[t].clear()
+
         for batch in batches:
-            for *_, words, ids, owner in _grouped(shared.value, [tokens(x.as_py()) for x in batch.column(0)]):
-                shared.value.count(*shared.value.stream(words, ids, owner), found)
+            for _, words, ids, owner in _grouped(shared.value, (x.as_py() for x in batch.column(0))):
+                for t, slot in enumerate(shared.value.slots(*shared.value.stream(words, ids, owner))):
+                    held[t].append(slot)
+                size += len(held[0][-1])
                 some = True
+                if size >= COUNTED:
+                    add_up()
+                    size = 0
+        if size:
+            add_up()
         if some:
             flat = found.reshape(-1, BLOCK)
             full = np.flatnonzero(flat.any(1))
             part = TaskContext.get().partitionId() % 256
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), part), pa.int32()), pa.array([flat[k].astype("<i8").tobytes() for k in full], pa.binary())], ["block", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), part), pa.int32()), pa.array([flat[k].astype("<i4").tobytes() for k in full], pa.binary())], ["block", "part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<i8") for x in table["counts"])
+        total = np.zeros(BLOCK, "<i8")
+        for x in table["counts"]:
+            x = x.as_py()
+            total += np.frombuffer(x, "<i8" if len(x) == 8 * BLOCK else "<i4")
         return pa.table({"block": table["block"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     sums = rows.select("text").mapInArrow(run, kind).groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
@@ -325,7 +354,7 @@ def fitted(rows: DataFrame, counts: DataFrame) -> Model:
     found = _tables(rows, model)
     sample = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE).select("text").collect()
     own, streams = np.zeros((2, 2 << SLOTS), np.int64), []
-    for *_, words, ids, owner in _grouped(model, [tokens(bytes(r["text"])) for r in sample]):
+    for _, words, ids, owner in _grouped(model, (bytes(r["text"]) for r in sample)):
         streams.append(model.stream(words, ids, owner))
         model.count(*streams[-1], own)
     # The weights start from what the tables say of texts that they have not counted.
@@ -357,18 +386,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         model = shared.value
         escape = len(model.words)
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(2)]
-            split = list(map(tokens, texts))
-            out, score = [], np.zeros(len(texts))
-            for begin, end, words, ids, owner in _grouped(model, split):
-                score[begin:end] = model.score(*model.stream(words, ids, owner), np.tile(model.weights, (end - begin, 1, 1)))
+            out, score, done = [], np.zeros(len(batch)), 0
+            for sizes, words, ids, owner in _grouped(model, (x.as_py() for x in batch.column(2))):
+                n = len(sizes)
+                score[done : done + n] = model.score(*model.stream(words, ids, owner), np.tile(model.weights, (n, 1, 1)))
                 known = ids < escape
-                sums = [np.bincount(owner[known], x[ids[known]], end - begin) for x in (seen, model.logs)]
-                rest: list[Counter[bytes]] = [Counter() for _ in range(begin, end)]
+                sums = [np.bincount(owner[known], x[ids[known]], n) for x in (seen, model.logs)]
+                rest: list[Counter[bytes]] = [Counter() for _ in range(n)]
                 for k in np.flatnonzero(~known).tolist():
                     rest[owner[k]][words[k]] += 1
-                for k in range(begin, end):
-                    out.append((xxhash.xxh64_intdigest(texts[k]) - (1 << 63), len(split[k]), int(sums[0][k - begin]), float(sums[1][k - begin]), sum(map(len, split[k])) + len(split[k]) - 1, [{"word": w, "n": n} for w, n in rest[k - begin].items()]))
+                n_bytes = np.bincount(owner, np.fromiter(map(len, words), np.int64, len(words)), n).astype(np.int64)
+                for k in range(n):
+                    digest = xxhash.xxh64_intdigest(batch.column(2)[done + k].as_py() or b"") - (1 << 63)
+                    out.append((digest, sizes[k], int(sums[0][k]), float(sums[1][k]), int(n_bytes[k]) + sizes[k] - 1, [{"word": w, "n": c} for w, c in rest[k].items()]))
+                done += n
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
             made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
