@@ -6,6 +6,7 @@ are wanted, never what they may see.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +98,8 @@ def scopes(resolved: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]
 _REF = ["path", "start_byte", "end_byte"]
 
 
-def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bindings (ref, unbound_reason) and targets (ref, target_path, qual_name, kind); and (path, qualified) per reference with a qualifier in scope.
+def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Bindings (ref, unbound_reason, whether its qualifier is in scope) and targets (ref, target_path, qual_name, kind); and what is kept for both.
 
     Each class of references takes one branch of the rules; every reference gets exactly one row.
     """
@@ -136,7 +137,7 @@ def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFr
     # calls on a plain operand: the package's only visible method of that name
     methods = defs.filter("kind = 'method'").select("dir", "pkg", "name", "target_path", "qual_name", F.col("kind").alias("target_kind"), "in_test")
     d = rows.filter(method).join(methods, ["dir", "pkg", "name"]).filter(visible).select(*_REF, "target_path", "qual_name", "target_kind", F.lit("method").alias("via"))
-    found = a.unionByName(b).unionByName(c).unionByName(d).distinct()
+    found = a.unionByName(b).unionByName(c).unionByName(d).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     sizes = found.groupBy(*_REF).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("via") == "own").alias("n_own"), F.count_if(F.col("via") == "dot").alias("n_dot"))
     said = rows.join(sizes, _REF, "left").fillna(0, ["n", "n_own", "n_dot"])
     n = F.col("n")
@@ -151,10 +152,10 @@ def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFr
         .when(n == 0, "no_candidate")
         .when(n > 1, "method_ambiguous")
     )
-    bindings = said.withColumn("unbound_reason", reason)
+    bindings = said.withColumn("unbound_reason", reason).select(*_REF, "unbound_reason", "scope").persist(StorageLevel.MEMORY_AND_DISK)
     bound = bindings.filter("unbound_reason IS NULL").select(*_REF)
     targets = found.join(bound, _REF, "left_semi").select(*_REF, "target_path", "qual_name", F.col("target_kind").alias("kind"))
-    return bindings.select(*_REF, "unbound_reason", F.col("scope").isin("repo", "external").alias("qualified")), targets, bindings
+    return bindings.select(*_REF, "unbound_reason", F.col("scope").isin("repo", "external").alias("qualified")), targets, [found, bindings]
 
 
 def link(files: DataFrame, resolved: DataFrame, targets: DataFrame) -> DataFrame:
@@ -173,17 +174,27 @@ def link(files: DataFrame, resolved: DataFrame, targets: DataFrame) -> DataFrame
 
 
 def derive(facts: dict[str, DataFrame], paths: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The derived tables; with ``paths`` (path), only rows that start in those files."""
+    """The derived tables; with ``paths`` (path), only rows that start in those files.
+
+    What several of them need is computed once and kept, on disk where memory ends, until :func:`release`.
+    """
     narrow = lambda df, c="path": df.join(paths.select(F.col("path").alias(c)), c, "left_semi") if paths is not None else df
-    resolved = resolve_imports(facts["files"], narrow(facts["imports"]), facts["manifests"])
-    bindings, targets, _ = bind(facts["files"], facts["symbols"], narrow(facts["refs"]), resolved)
+    resolved = resolve_imports(facts["files"], narrow(facts["imports"]), facts["manifests"]).persist(StorageLevel.MEMORY_AND_DISK)
+    bindings, targets, held = bind(facts["files"], facts["symbols"], narrow(facts["refs"]), resolved)
     edges = link(facts["files"], resolved, targets)
     # A file that has no package clause takes no part.
     packaged = facts["files"].filter("pkg_name IS NOT NULL").select("path")
     resolution = resolved.join(packaged, "path", "left_semi").withColumn("resolved_file", F.lit(None).cast("string"))
     edges = edges.join(packaged.withColumnRenamed("path", "src"), "src", "left_semi")
     out = {"import_resolution": resolution, "bindings": bindings, "binding_targets": targets, "edges": narrow(edges, "src")}
-    return {k: conform(v, k) for k, v in out.items()}
+    return {k: conform(v, k) for k, v in out.items()} | {"_held": [resolved, *held]}
+
+
+def release(derived: dict) -> dict[str, DataFrame]:
+    """Lets go of what was kept; returns the tables alone."""
+    for df in derived.pop("_held", []):
+        df.unpersist()
+    return derived
 
 
 def statistics(derived: dict[str, DataFrame]) -> dict:

@@ -25,8 +25,12 @@ FILE_CHECK = (
 )
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+
+
 def _of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """A schema of plain columns; needs no session, so that modules can be imported without one."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(","))])
 
 
 SPAN = "start_line:int,end_line:int,start_byte:int,end_byte:int"
