@@ -144,5 +144,6 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     more = F.filter(F.coalesce("live", F.array().cast(_SPAN)), lambda s: s["rank"] == 3)
     new = redacted(F.col("text"), F.concat("base", more))
     column = lambda i, c, clean: (new if c == text_col else F.length(new).cast(docs.schema[c].dataType) if c == length_col else F.col(f"kept_{i}")) if clean else F.col(f"kept_{i}")
-    parts = [df.select(*(column(i, c, clean).alias(c) for i, c in enumerate(names))) for df, clean in ((rows.filter("key IS NULL"), False), (some, True))]
-    return parts[0].unionByName(parts[1])
+    # Other names at first: inside lambdas a name may also mean what the same select gives out under it.
+    parts = [df.select(*(column(i, c, clean).alias(f"out_{i}") for i, c in enumerate(names))) for df, clean in ((rows.filter("key IS NULL"), False), (some, True))]
+    return parts[0].unionByName(parts[1]).toDF(*names)
