@@ -15,6 +15,7 @@ vocabulary (of bounded size), the others are joined with the table of counts.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -119,7 +120,6 @@ class Model:
     bits: np.ndarray
     own: np.ndarray
     tables: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << SLOTS), np.float32))
-    often: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << SLOTS), np.uint8))
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.3, 0.5, 0.5], np.float32), (GATES, 1)))
 
     def __post_init__(self) -> None:
@@ -206,8 +206,9 @@ class Model:
     def learn(self, found: np.ndarray) -> None:
         """Log-odds of the slots from counts [table, slot, bit], and which were seen often."""
         n0, n1 = found[:, :, 0], found[:, :, 1]
-        self.tables = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32)
-        self.often = (n0 + n1 >= OFTEN).astype(np.uint8)
+        odds = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32).view(np.uint32)
+        # The last bit of the number says whether the slot was seen often, so that one look-up gives both.
+        self.tables = (odds & np.uint32(0xFFFFFFFE) | (n0 + n1 >= OFTEN)).astype(np.uint32).view(np.float32)
 
     def score(self, symbols: np.ndarray, owner: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The natural logarithm of each text's probability; ``weights`` [text, gate, predictor] are refined in place.
@@ -221,8 +222,9 @@ class Model:
             symbols, owner, one, two, segment = symbols[order], owner[order], one[order], two[order], segment[order]
         node, bit, one, two, n = self.decisions(symbols, one, two)
         inputs = (self.own[node], self.tables[0][one], self.tables[1][two])
-        text = np.repeat(owner.astype(np.int32), n)
-        gate = text * np.int32(GATES) + (self.often[0][one] * np.uint8(2) + self.often[1][two])
+        gate = np.repeat(owner * GATES, n)
+        for k in (1, 2):
+            gate += (inputs[k].view(np.uint32) & np.uint32(1)) * np.uint32(k)
         sign = bit.astype(np.float32) * np.float32(2) - np.float32(1)
         w = np.ascontiguousarray(weights.reshape(-1, 3).T)
         out = np.zeros(len(weights))
@@ -236,7 +238,7 @@ class Model:
             z *= s
             np.clip(z, -30, 30, out=z)
             e = np.exp(-z)
-            out += np.bincount(text[a:b], np.log1p(e), len(out))
+            out += np.bincount(g, np.log1p(e), w.shape[1]).reshape(-1, GATES).sum(1)
             e /= 1 + e  # 1 - p of what came
             e *= s
             count = np.maximum(np.bincount(g, minlength=w.shape[1]), 64)
@@ -332,19 +334,19 @@ def _tables(rows: DataFrame, model: Model) -> np.ndarray:
             flat = found.reshape(-1, BLOCK)
             full = np.flatnonzero(flat.any(1))
             part = TaskContext.get().partitionId() % 256
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), part), pa.int32()), pa.array([flat[k].astype("<i4").tobytes() for k in full], pa.binary())], ["block", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), part), pa.int32()), pa.array([zlib.compress(flat[k].astype("<i4").tobytes(), 1) for k in full], pa.binary())], ["block", "part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, "<i8")
         for x in table["counts"]:
-            x = x.as_py()
+            x = zlib.decompress(x.as_py())
             total += np.frombuffer(x, "<i8" if len(x) == 8 * BLOCK else "<i4")
-        return pa.table({"block": table["block"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": table["block"][:1], "part": table["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     sums = rows.select("text").mapInArrow(run, kind).groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
     out = np.zeros((2, 2 << SLOTS), np.int64).reshape(-1, BLOCK)
     for r in sums.select("block", "counts").collect():
-        out[r["block"]] = np.frombuffer(r["counts"], "<i8")
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     return out.reshape(2, 1 << SLOTS, 2)
 
 
