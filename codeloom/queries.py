@@ -479,3 +479,28 @@ def task_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of every conversation turn, by the exact parser."""
     turns = t(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     return task.terms_of(task.parse_tasks(turns, "id", "text")).select("task_id", "term", F.array_join("originals", "|").alias("originals"))
+
+
+@query()
+def go_synth_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic repository of as many files as there are documents (in tens), parsed, resolved and linked; counts of edges by kind."""
+    from codeloom.plans.derive import derive
+    from codeloom.sources.facts import extract, fact_tables
+    from codeloom.sources.synth import synthetic_scan
+
+    files = t(spark, sf_dir, "documents").count() // 10 * 10
+    scan = synthetic_scan(spark, files).persist()
+    parsed = extract(scan).persist()
+    edges = derive(fact_tables(scan, parsed))["edges"]
+    return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query()
+def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of the synthetic repository by kind."""
+    from codeloom.sources.facts import extract
+    from codeloom.sources.synth import synthetic_scan
+
+    files = t(spark, sf_dir, "documents").count() // 10 * 10
+    defs = extract(synthetic_scan(spark, files)).select(F.explode("defs").alias("d"))
+    return defs.groupBy(F.col("d.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d.exported")).alias("exported"))
