@@ -124,9 +124,10 @@ class Model:
 
     def __post_init__(self) -> None:
         self.of = {w: i for i, w in enumerate(self.words)}
+        self.hashes, self.odds = self.nodes.astype(np.uint32) * np.uint32(0xC2B2AE35), self.own[self.nodes]  # by place in the codes
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "of"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("of", "hashes", "odds")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -173,13 +174,12 @@ class Model:
         return one, two, place
 
     def decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Node, bit and the slots of both contexts of all decisions, and how many each symbol takes."""
+        """Place in the codes, bit and the slots of both contexts of all decisions, and how many each symbol takes."""
         begin = self.start[symbols]
         n = self.start[symbols + 1] - begin
         at = np.repeat((begin - (np.cumsum(n) - n)).astype(np.int32), n)
         at += np.arange(len(at), dtype=np.int32)
-        node = self.nodes[at]
-        hashed = node.astype(np.uint32) * np.uint32(0xC2B2AE35)
+        hashed = self.hashes[at]
         slots = []
         for c in (one, two):
             h = np.repeat(c, n)
@@ -187,7 +187,7 @@ class Model:
             h *= np.uint32(0x27D4EB2F)
             h >>= np.uint32(32 - SLOTS)
             slots.append(h.view(np.int32))
-        return node, self.bits[at], slots[0], slots[1], n
+        return at, self.bits[at], slots[0], slots[1], n
 
     def slots(self, symbols: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
         """For each table, slot and bit of all decisions in one number."""
@@ -220,8 +220,8 @@ class Model:
         if segment.any():
             order = np.argsort(segment, kind="stable")
             symbols, owner, one, two, segment = symbols[order], owner[order], one[order], two[order], segment[order]
-        node, bit, one, two, n = self.decisions(symbols, one, two)
-        inputs = (self.own[node], self.tables[0][one], self.tables[1][two])
+        at, bit, one, two, n = self.decisions(symbols, one, two)
+        inputs = (self.odds[at], self.tables[0][one], self.tables[1][two])
         gate = np.repeat(owner * GATES, n)
         for k in (1, 2):
             gate += (inputs[k].view(np.uint32) & np.uint32(1)) * np.uint32(k)
@@ -238,8 +238,9 @@ class Model:
             z *= s
             np.clip(z, -30, 30, out=z)
             e = np.exp(-z)
-            out += np.bincount(g, np.log1p(e), w.shape[1]).reshape(-1, GATES).sum(1)
-            e /= 1 + e  # 1 - p of what came
+            whole = e + 1
+            out += np.bincount(g, np.log(whole), w.shape[1]).reshape(-1, GATES).sum(1)
+            e /= whole  # 1 - p of what came
             e *= s
             count = np.maximum(np.bincount(g, minlength=w.shape[1]), 64)
             for k in range(3):
@@ -388,37 +389,36 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         model = shared.value
         escape = len(model.words)
         for batch in batches:
-            out, score, done = [], np.zeros(len(batch)), 0
+            out, score, done, rest, many = [], np.zeros(len(batch)), 0, [], [np.zeros(1, np.int64)]
             for sizes, words, ids, owner in _grouped(model, (x.as_py() for x in batch.column(2))):
                 n = len(sizes)
                 score[done : done + n] = model.score(*model.stream(words, ids, owner), np.tile(model.weights, (n, 1, 1)))
                 known = ids < escape
                 sums = [np.bincount(owner[known], x[ids[known]], n) for x in (seen, model.logs)]
-                rest: list[Counter[bytes]] = [Counter() for _ in range(n)]
-                for k in np.flatnonzero(~known).tolist():
-                    rest[owner[k]][words[k]] += 1
+                rare = np.flatnonzero(~known)
+                rest += [words[k] for k in rare.tolist()]
+                many.append(np.bincount(owner[rare], minlength=n))
                 n_bytes = np.bincount(owner, np.fromiter(map(len, words), np.int64, len(words)), n).astype(np.int64)
                 for k in range(n):
                     digest = xxhash.xxh64_intdigest(batch.column(2)[done + k].as_py() or b"") - (1 << 63)
-                    out.append((digest, sizes[k], int(sums[0][k]), float(sums[1][k]), int(n_bytes[k]) + sizes[k] - 1, [{"word": w, "n": c} for w, c in rest[k].items()]))
+                    out.append((digest, sizes[k], int(sums[0][k]), float(sums[1][k]), int(n_bytes[k]) + sizes[k] - 1))
                 done += n
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
             made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            made.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)), pa.int32()), pa.array(rest, pa.binary())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array(score)], ["doc_id", "held_out", "hash", "n_tokens", "known", "logs", "n_bytes", "rest", "score"])
 
-    kind = "doc_id long, held_out boolean, hash long, n_tokens long, known long, logs double, n_bytes long, rest array<struct<word:binary,n:bigint>>, score double"
+    kind = "doc_id long, held_out boolean, hash long, n_tokens long, known long, logs double, n_bytes long, rest array<binary>, score double"
     scored = materialize(rows.mapInArrow(run, kind), "scored")
-    rare = scored.select("doc_id", "hash", F.explode("rest").alias("r")).select("doc_id", "hash", "r.word", F.col("r.n").alias("times"))
-    met = rare.join(counts, "word", "left")
+    met = scored.select("doc_id", "hash", F.explode("rest").alias("word")).join(counts, "word", "left")
     sums = met.groupBy("doc_id", "hash").agg(
-        F.sum(F.coalesce(F.col("times") * F.log10(F.col("n") + 1), F.lit(0.0))).alias("more_logs"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("more_known"),
-        F.sum("times").alias("all_rare"),
+        F.sum(F.coalesce(F.log10(F.col("n") + 1), F.lit(0.0))).alias("more_logs"),
+        F.count("n").alias("more_known"),
+        F.count(F.lit(1)).alias("all_rare"),
     )
     # Repeated rows share a sum; each takes its part.
-    mine = F.aggregate("rest", F.lit(0).cast("long"), lambda acc, r: acc + r["n"])
-    own = scored.withColumn("mine", mine).drop("rest")
+    own = scored.withColumn("mine", F.size("rest")).drop("rest")
     a, b = own.alias("a"), sums.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.hash") == F.col("b.hash")), "left")
     share = F.coalesce(F.col("mine") / F.col("all_rare"), F.lit(0.0))
