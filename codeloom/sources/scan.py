@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import os
 import re
@@ -192,7 +191,3 @@ def scan_store(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     both = rows.unionByName(large)
     return both.select("path", language(F.col("path")).alias("lang"), F.col("length").alias("size"), "mtime", "hash", "skip", "content")
 
-
-def matches(path: str, patterns: list[str]) -> bool:
-    """Whether a path is named by one of the shell patterns of forced includes."""
-    return any(fnmatch.fnmatchcase(path, p) for p in patterns)
