@@ -33,8 +33,8 @@ END = b"\n"  # no word holds white space
 #: Words with a code of their own at most; slots of a table (a power of two); texts, and bytes in each, that start the weights.
 VOCABULARY, SLOTS, SAMPLE, SAMPLE_BYTES = 1 << 18, 20, 200, 1 << 16
 #: Symbols between two updates of a text's weights, words in one step of work; words counted before they are passed on.
-SEGMENT, WORK, FLUSH = 512, 1 << 15, 500_000
-RATE, OFTEN, GATES, BLOCK, COUNTED = 1.0, 4, 4, 1 << 12, 1 << 22
+SEGMENT, WORK, FLUSH = 512, 1 << 16, 500_000
+RATE, OFTEN, GATES, BLOCK, COUNTED = 1.0, 4, 4, 1 << 14, 1 << 22
 FOLDS, HELD = 7, 2
 
 
@@ -334,7 +334,7 @@ def _tables(rows: DataFrame, model: Model) -> np.ndarray:
         if some:
             flat = found.reshape(-1, BLOCK)
             full = np.flatnonzero(flat.any(1))
-            part = TaskContext.get().partitionId() % 256
+            part = TaskContext.get().partitionId() % 16
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), part), pa.int32()), pa.array([zlib.compress(flat[k].astype("<i4").tobytes(), 1) for k in full], pa.binary())], ["block", "part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
