@@ -1,5 +1,7 @@
 """Resolution, binding, edges; the index cold and incremental; the doctor."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from codeloom.streaming.updates import apply_changes
 from tests.repo import FILES, write
 
 
+#: Each of these derives several times, which takes minutes; CODELOOM_SLOW=1 runs them.
+slow = pytest.mark.skipif(os.environ.get("CODELOOM_SLOW") != "1", reason="takes minutes; set CODELOOM_SLOW=1")
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     root = write(tmp_path_factory.mktemp("repo"))
@@ -90,6 +96,7 @@ def test_statistics(built):
     assert s["imports"]["unresolved"] == 3 and 0 < s["ref_rate"] < 1
 
 
+@slow
 def test_partitions_do_not_matter(spark, tmp_path):
     scan = scan_tree(spark, str(write(tmp_path, SMALL))).cache()
     dumps = []
@@ -107,6 +114,7 @@ def test_doctor_is_content(built):
     assert rows["FILES_CONSISTENCY"]["n"] == 0 and rows["SNAPSHOT_ID"]["severity"] == "ok"
 
 
+@slow
 def test_doctor_finds_faults(spark, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
     incremental.build(index, scan_tree(spark, str(write(tmp_path / "r", SMALL))), 5000)
@@ -130,13 +138,13 @@ def test_checks_count_null_as_a_fault(spark):
 #: What each step changes; null deletes.
 EDITS = [
     {"auth/auth.go": FILES["auth/auth.go"].replace("func Login", "func Signin"), "auth/more.go": "package auth\n\nfunc Extra() { Signin(\"z\") }\n"},
-    {"dirhelper/h.go": "package renamed\n\nfunc Help() {}\n", "missing/g.go": "package missing\n\nfunc Gone() {}\n"},
-    {"missing/g.go": None, "auth/more.go": None},
+    {"dirhelper/h.go": "package renamed\n\nfunc Help() {}\n", "auth/more.go": None},
     {"go.mod": "module example.com/other\n"},
 ]
 SMALL = {p: x for p, x in FILES.items() if p.split("/")[0] in ("go.mod", "main.go", "util.go", "auth", "dirhelper")}
 
 
+@slow
 def test_incremental_equals_cold(spark, tmp_path):
     files = dict(SMALL)
     index = Index(spark, str(tmp_path / "live"))
@@ -146,7 +154,7 @@ def test_incremental_equals_cold(spark, tmp_path):
         root = write(tmp_path / f"r{k}", files)
         run = incremental.update(index, scan_tree(spark, str(root)), 5000)
         assert run.added + run.modified + run.deleted == len(edit)
-        if k in (1, 4):
+        if k in (1, 3):
             cold = Index(spark, str(tmp_path / f"cold{k}"))
             incremental.build(cold, scan_tree(spark, str(root)), 5000)
             strip = lambda rows: [r.split('"mtime"')[0] if '"table":"files"' in r else r for r in rows]
@@ -155,6 +163,7 @@ def test_incremental_equals_cold(spark, tmp_path):
     assert incremental.update(index, scan_tree(spark, str(root)), 5000).noop
 
 
+@slow
 def test_torn_update_heals(spark, tmp_path, monkeypatch):
     index = Index(spark, str(tmp_path / "i"))
     incremental.build(index, scan_tree(spark, str(write(tmp_path / "a", SMALL))), 5000)
@@ -173,6 +182,7 @@ def test_torn_update_heals(spark, tmp_path, monkeypatch):
     again.require_ready()
 
 
+@slow
 def test_resume(spark, tmp_path):
     scan = scan_tree(spark, str(write(tmp_path / "r", SMALL)))
     index = Index(spark, str(tmp_path / "i"))
@@ -185,6 +195,7 @@ def test_resume(spark, tmp_path):
     assert dump(Index(spark, str(tmp_path / "i"))) == dump(cold)
 
 
+@slow
 def test_stream_batch_is_an_update(spark, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
     scan = scan_tree(spark, str(write(tmp_path / "r", SMALL))).cache()
