@@ -386,6 +386,33 @@ def test_mixed_decisions_make_a_distribution():
     assert sum(then) == pytest.approx(first[1], rel=1e-4)
 
 
+def test_every_context_is_counted_on_its_own(docs, rows, monkeypatch):
+    """What comes back from the buckets is what a plain count by whole contexts says, over all training texts."""
+    monkeypatch.setattr(context_mixing, "CHUNK", 500)
+    renamed = context_mixing._rows(docs, "doc_id", "text")
+    model = context_mixing._model(context_mixing.word_counts(renamed.filter("NOT held_out")), 4)  # nearly all words are spelled
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    chunks = context_mixing.with_counts(context_mixing.chunked(renamed).localCheckpoint(), shared, 3).collect()
+    assert len(chunks) > 3 and sum(len(c["texts"]) for c in chunks) == len(rows)
+    streams = []
+    for c in chunks:
+        _, words, ids, owner = context_mixing._words(model, c["texts"])
+        streams.append((*model.stream(words, ids, owner), ~np.array(c["held"]), c["seen"]))
+
+    def paths(symbols, owner, table):
+        for k, s in enumerate(symbols.tolist()):
+            past = [*[-1] * 4, *symbols[:k][owner[:k] == owner[k]].tolist()]
+            deep = (1, 2) if s <= len(model.words) else (2, 4)
+            for at in range(model.start[s], model.start[s + 1]):
+                yield owner[k], (tuple(past[-deep[table] :]), model.nodes[at]), int(model.bits[at])
+
+    for table in range(2):
+        plain = Counter((key, bit) for symbols, owner, trains, _ in streams for o, key, bit in paths(symbols, owner, table) if trains[o])
+        for symbols, owner, _, seen in streams:
+            got = context_mixing._counts(model, symbols, owner, seen, 3)[table].T.tolist()
+            assert got == [[plain[key, bit], plain[key, 1 - bit]] for _, key, bit in paths(symbols, owner, table)]
+
+
 # all
 
 
