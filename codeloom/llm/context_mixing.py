@@ -34,7 +34,7 @@ END = b"\n"  # no word holds white space
 #: Words with a code of their own, as a multiple of the square root of the training tokens; slots (a power of two) of a model that is scored without counts.
 CODED, SLOTS = 64, 10
 #: Symbols between two updates of a text's weights; words in one chunk of texts, training tokens in a bucket of contexts; words counted before they are passed on.
-SEGMENT, CHUNK, BUCKET, FLUSH = 512, 1 << 17, 1 << 22, 500_000
+SEGMENT, CHUNK, BUCKET, FLUSH = 16, 1 << 17, 1 << 22, 500_000
 RATE, OFTEN, GATES = 1.0, 4, 4
 FOLDS, HELD = 7, 2
 

@@ -413,6 +413,18 @@ def test_every_context_is_counted_on_its_own(docs, rows, monkeypatch):
             assert got == [[plain[key, bit], plain[key, 1 - bit]] for _, key, bit in paths(symbols, owner, table)]
 
 
+def test_short_texts_refine_their_weights(monkeypatch):
+    lengths, nodes, bits, own = context_mixing._codes(np.array([5, 3, 3, 1]))
+    more, letters, last, odds = context_mixing._codes(np.ones(256, np.int64))
+    start = np.concatenate([[0], np.cumsum(lengths), lengths.sum() + np.cumsum(more)])
+    model = context_mixing.Model([b"a", b"b", b"\n"], np.zeros(3), start, np.concatenate([nodes, letters + np.int32(len(own))]), np.concatenate([bits, last]), np.concatenate([own, odds]))
+    symbols, owner = np.tile([0, 1, 0, 2], 20), np.repeat([0, 1], [60, 20])
+    refined = model.score(symbols, owner, np.tile(model.weights, (2, 1, 1)))
+    monkeypatch.setattr(context_mixing, "RATE", 0.0)
+    fixed = model.score(symbols, owner, np.tile(model.weights, (2, 1, 1)))
+    assert (refined > fixed).all()  # texts of 60 and of 20 symbols learn what fits them
+
+
 # all
 
 
