@@ -6,7 +6,7 @@ then the Huffman codes of their bytes. For every decision three predictors say a
 code's own node, and the node's counts after the last symbol and after the last two, over all training documents.
 These counts are kept for every context (by a hash of 64 bits), in a table over the cluster. Their log-odds are mixed with weights chosen by a
 gate (which of the contexts have been seen often), and the weights are refined online, segment by segment, inside each
-text, from the same start. The sum of the decisions' logarithms is the
+text, from a start that was fitted on all training texts. The sum of the decisions' logarithms is the
 probability of the text, and with its bytes gives bits per byte.
 
 The base score is a smoothed unigram's, with exact counts of all words: frequent ones are looked up in the
@@ -35,7 +35,7 @@ END = b"\n"  # no word holds white space
 CODED, SLOTS = 64, 10
 #: Symbols between two updates of a text's weights; words in one chunk of texts, training tokens in a bucket of contexts; words counted before they are passed on.
 SEGMENT, CHUNK, BUCKET, FLUSH = 16, 1 << 17, 1 << 22, 500_000
-RATE, OFTEN, GATES = 1.0, 4, 4
+RATE, OFTEN, GATES, LEVELS = 1.0, 4, 4, 65
 FOLDS, HELD = 7, 2
 
 
@@ -429,6 +429,44 @@ def _counts(model: Model, symbols: np.ndarray, owner: np.ndarray, seen: list[dic
     return out
 
 
+def fitted(chunks: DataFrame, shared, buckets: int) -> np.ndarray:
+    """Start weights [gate, predictor] of least loss over all decisions of all training texts.
+
+    Each symbol is taken off its contexts' counts, so that it does not tell itself. What comes to the driver are numbers of
+    decisions by gate and log-odds, in steps of a quarter: as many cells at most for any input. A gate without decisions keeps its weights.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, found = shared.value, np.zeros(LEVELS**3 * GATES, np.int64)
+        for held, texts, seen in _each(batches):
+            _, words, ids, owner = _words(model, texts)
+            symbols, owner = model.stream(words, ids, owner)
+            x, cell, n = model.inputs(symbols, owner, _counts(model, symbols, owner, seen, buckets), 1)
+            for k in range(3):
+                cell += np.rint((x[k] + 8) * ((LEVELS - 1) / 16)).astype(np.int64) * (GATES * LEVELS**k)
+            found += np.bincount(cell[np.repeat(~np.array(held)[owner], n)], minlength=len(found))
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], ["cell", "n"])
+
+    sums = chunks.select("held", "texts", "seen").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, many = sums["cell"].to_numpy().astype(np.int64), sums["n"].to_numpy().astype(np.float64)
+    odds = np.stack([cell // (GATES * LEVELS**k) % LEVELS * (16 / (LEVELS - 1)) - 8 for k in range(3)], axis=1)
+    weights = shared.value.weights.astype(np.float64)
+    for gate in range(GATES):
+        x, n = odds[cell % GATES == gate], many[cell % GATES == gate]
+        loss = lambda w: float(n @ np.logaddexp(0, -x @ w)) + 0.5 * float(((w - weights[gate]) ** 2).sum())  # noqa: B023, E731
+        w = weights[gate].copy()
+        for _ in range(50 if len(n) else 0):
+            miss = 1 / (1 + np.exp(np.clip(x @ w, -30, 30)))
+            down = np.linalg.solve((x * (n * miss * (1 - miss))[:, None]).T @ x + np.eye(3), x.T @ (n * miss) - (w - weights[gate]))
+            size = next((2.0**-k for k in range(12) if loss(w + down * 2.0**-k) < loss(w)), 0)
+            w += size * down
+            if not size or np.abs(down).max() < 1e-6:
+                break
+        weights[gate] = w
+    return weights.astype(np.float32)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per input row.
 
@@ -443,6 +481,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     model, buckets = _model(counts, total), -(-total // BUCKET) or 1
     context = docs.sparkSession.sparkContext
     chunks = materialize(with_counts(materialize(chunked(rows), "chunks"), context.broadcast(model), buckets), "seen")
+    model.weights = fitted(chunks, context.broadcast(model), buckets)
     shared = context.broadcast(model)
     seen = model.logs > 0
 

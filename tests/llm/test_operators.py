@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codeloom.llm import boosting, context_mixing, embedding_dedup, packing, pii, quality_rules, secret_scan, sentencepiece_codec, simhash, token_counts, url_filter
@@ -425,6 +426,29 @@ def test_short_texts_refine_their_weights(monkeypatch):
     assert (refined > fixed).all()  # texts of 60 and of 20 symbols learn what fits them
 
 
+def test_all_training_texts_fit_the_weights(spark):
+    """Long texts too: the weights are where the loss over all decisions is least."""
+    texts = [" ".join(np.random.default_rng(k).choice(_VOCABULARY, 20_000)) for k in range(2)] + ["", "a b a b a"]
+    assert len(texts[0]) > 1 << 16
+    renamed = context_mixing._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").withColumn("held_out", F.lit(False))
+    model = context_mixing._model(context_mixing.word_counts(renamed), 10)
+    shared = spark.sparkContext.broadcast(model)
+    chunks = context_mixing.with_counts(context_mixing.chunked(renamed).localCheckpoint(), shared, 2).localCheckpoint()
+    weights = context_mixing.fitted(chunks, shared, 2)
+    assert not np.array_equal(weights, model.weights)
+    all_x, all_gates = [], []
+    for c in chunks.collect():
+        _, words, ids, owner = context_mixing._words(model, c["texts"])
+        symbols, owner = model.stream(words, ids, owner)
+        x, gate, _ = model.inputs(symbols, owner, context_mixing._counts(model, symbols, owner, c["seen"], 2), 1)
+        all_x.append(np.stack(x, axis=1).astype(float))
+        all_gates.append(gate)
+    x, gate = np.concatenate(all_x), np.concatenate(all_gates)
+    for g in range(context_mixing.GATES):
+        loss = lambda w: np.logaddexp(0, -x[gate == g] @ w).sum()  # noqa: B023, E731
+        assert all(loss(weights[g]) <= loss(weights[g] * np.array(k)) * 1.002 + 1 for k in ((1.2, 1, 1), (0.8, 1, 1), (1, 1.2, 1), (1, 0.8, 1), (1, 1, 1.2), (1, 1, 0.8)))
+
+
 # all
 
 
