@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -67,7 +68,7 @@ class ImpossibleBudget(ValueError):
 
 
 def fit(files: list[dict], budget: int, forced: frozenset[str] = frozenset()) -> dict[str, int]:
-    """Final level by path. files: path, total, level and cost, a mapping of levels to tokens (with slack), of one task's bounded candidates.
+    """Final level by path. files: path, total, level and cost, a mapping of levels to tokens (with slack), of one task.
 
     Demotes the file with most gain for its loss until the sum fits, then promotes while more than 5 % stay free. Forced files keep 2.
     """
@@ -75,38 +76,51 @@ def fit(files: list[dict], budget: int, forced: frozenset[str] = frozenset()) ->
     level, by = {f["path"]: f["level"] for f in files}, {f["path"]: f for f in files}
     cost = lambda p, at: by[p]["cost"].get(at, 0)
     total = sum(cost(p, at) for p, at in level.items())
+
+    def down(p: str) -> list[tuple[float, str]]:
+        at = level[p]
+        if at < 1 or (p in forced and at <= 2):
+            return []
+        return [(-(cost(p, at) - cost(p, _DOWN[at])) / (max(by[p]["total"], 1e-12) * LOSS[at]), p)]
+
+    heap = [x for p in level for x in down(p)]
+    heapq.heapify(heap)
     while total > room:
-        best = None
-        for p in sorted(level):
-            at = level[p]
-            if at < 1 or (p in forced and at <= 2):
-                continue
-            gain, loss = cost(p, at) - cost(p, _DOWN[at]), max(by[p]["total"], 1e-12) * LOSS[at]
-            if best is None or gain / loss > best[0]:
-                best = (gain / loss, p)
-        if best is None:
+        if not heap:
             raise ImpossibleBudget(-(-total * RESERVE[1] // (RESERVE[1] - RESERVE[0])))
-        at = level[best[1]]
-        total -= cost(best[1], at) - cost(best[1], _DOWN[at])
-        level[best[1]] = _DOWN[at]
+        p = heapq.heappop(heap)[1]
+        at = level[p]
+        total -= cost(p, at) - cost(p, _DOWN[at])
+        level[p] = _DOWN[at]
+        for x in down(p):
+            heapq.heappush(heap, x)
     spare = -(-budget * TRIGGER[0] // TRIGGER[1])
-    while total <= room - spare:
-        best = None
-        for p in sorted(level):
-            at = level[p]
-            if at in _UP and at < by[p]["level"]:  # never above what its total earned
-                step = cost(p, _UP[at]) - cost(p, at)
-                if total + step <= room and (best is None or by[p]["total"] / max(step, 1) > best[0]):
-                    best = (by[p]["total"] / max(step, 1), p, step)
-        if best is None:
-            break
-        level[best[1]] = _UP[level[best[1]]]
-        total += best[2]
+
+    def up(p: str) -> list[tuple[float, str, int]]:
+        at = level[p]
+        if at not in _UP or at >= by[p]["level"]:  # never above what its total earned
+            return []
+        step = cost(p, _UP[at]) - cost(p, at)
+        return [(-by[p]["total"] / max(step, 1), p, step)]
+
+    heap, waiting = [x for p in level for x in up(p)], []
+    heapq.heapify(heap)
+    while total <= room - spare and heap:
+        x = heapq.heappop(heap)
+        if total + x[2] > room:
+            waiting.append(x)
+            continue
+        level[x[1]] = _UP[level[x[1]]]
+        total += x[2]
+        for y in up(x[1]) + (waiting if x[2] < 0 else []):
+            heapq.heappush(heap, y)
+        if x[2] < 0:  # what did not fit may fit now
+            waiting = []
     return level
 
 
 def fit_tasks(rows: DataFrame, budget: int) -> DataFrame:
-    """(task_id, path, level) from (task_id, path, total, level, costs map<int,int>), each task's candidates in one group, bounded by the frontiers of its walk."""
+    """(task_id, path, level) from (task_id, path, total, level, costs map<int,int>), all files of a task in one group."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         files = [{"path": r.path, "total": r.total, "level": int(r.level), "cost": {int(k): int(v) for k, v in dict(r.costs).items()}} for r in group.itertuples()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, text
@@ -350,17 +350,20 @@ def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.running(docs, "n_chars", [F.desc("n_chars"), "doc_id"], ["source"]).filter("running <= 50000")
 
 
-@query()
-def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source as a task over its 64 longest documents, fitted into 4,000 tokens."""
-    docs = t(spark, sf_dir, "documents").select(F.col("source").alias("task_id"), F.col("doc_id").cast("string").alias("path"), "n_chars")
-    best = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("n_chars"), "path"))
+def budget_fit_of(documents: DataFrame) -> DataFrame:
+    docs = documents.select(F.col("source").alias("task_id"), F.col("doc_id").cast("string").alias("path"), "n_chars")
     total = F.col("n_chars") / (F.col("n_chars") + 4000)
     cost = F.map_from_arrays(F.array(*map(F.lit, (0, 1, 2, 3, 4, 5))), F.array(*(F.ceil(F.col("n_chars") * k / 4000).cast("int") for k in (0, 1, 20, 100, 400, 1000))))
-    rows = docs.withColumn("nth", best).filter("nth <= 64").select("task_id", "path", total.alias("total"), levels.band(total).alias("level"), cost.alias("costs"))
+    rows = docs.select("task_id", "path", total.alias("total"), levels.band(total).alias("level"), cost.alias("costs"))
     return levels.fit_tasks(rows, 4000)
 
 
+@query()
+def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a task over all its documents, fitted into 4,000 tokens."""
+    return budget_fit_of(t(spark, sf_dir, "documents"))
+
+
 @query("""WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS h FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderkey % 13 = 0),
 o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 22 = 0 THEN NULL ELSE o_orderstatus END AS h FROM orders)
 SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'deleted' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")

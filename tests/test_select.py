@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import queries
 from codeloom.functions import paths, text
 from codeloom.operators import levels, seed, task, walk
 from codeloom.sources.scan import CapExceeded, discover, ignored, rules_of, scan_tree
@@ -114,6 +115,47 @@ def test_fit_stays_in_the_budget(budget):
         levels.fit(files, 20, frozenset(f["path"] for f in files))
 
 
+def plain_fit(files, budget):
+    """The greedy fit, looking at every file in every round."""
+    room, level, by = budget - -(-budget * 8 // 100), {f["path"]: f["level"] for f in files}, {f["path"]: f for f in files}
+    cost = lambda p, at: by[p]["cost"].get(at, 0)
+    total = sum(cost(p, at) for p, at in level.items())
+    while total > room:
+        gain = lambda p: (cost(p, level[p]) - cost(p, levels._DOWN[level[p]])) / (max(by[p]["total"], 1e-12) * levels.LOSS[level[p]])
+        p = min((p for p in level if level[p] >= 1), key=lambda p: (-gain(p), p))
+        total, level[p] = total - cost(p, level[p]) + cost(p, levels._DOWN[level[p]]), levels._DOWN[level[p]]
+    while total <= room - -(-budget * 5 // 100):
+        steps = [(-by[p]["total"] / max(d, 1), p, d) for p in level if level[p] < by[p]["level"] for d in [cost(p, levels._UP[level[p]]) - cost(p, level[p])] if total + d <= room]
+        if not steps:
+            break
+        _, p, d = min(steps)
+        total, level[p] = total + d, levels._UP[level[p]]
+    return level
+
+
+def test_fit_equals_the_plain_one():
+    import random
+
+    draw = random.Random(3)
+    for budget in (40, 300, 2000, 9000):
+        files = [{"path": f"f{i}", "total": draw.choice([0.0, 0.2, draw.random()]), "level": draw.randint(0, 5), "cost": {k: draw.randint(0, 30 * k * k) for k in range(1, 6)}} for i in range(150)]
+        assert levels.fit(files, budget) == plain_fit(files, budget)
+
+
+def test_budget_fit_gives_every_document_a_level(spark):
+    rows = [("hot", 100 + i % 97 * 50) if i % 3 else ("cold", 5000 + i) for i in range(900)]
+    docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, n_chars long")
+    got = {(r["task_id"], int(r["path"])): r["level"] for r in queries.budget_fit_of(docs).collect()}
+    assert set(got) == {(s, i) for i, (s, _) in enumerate(rows)}
+    for source in ("hot", "cold"):
+        files = []
+        for i, (s, n) in enumerate(rows):
+            total = n / (n + 4000)
+            if s == source:
+                files.append({"path": str(i), "total": total, "level": next((v for least, v in levels.BANDS if total >= least), 0), "cost": {k: math.ceil(n * m / 4000) for k, m in enumerate((0, 1, 20, 100, 400, 1000))}})
+        assert {p: v for (s, p), v in got.items() if s == source} == {int(p): v for p, v in plain_fit(files, 4000).items()}
+
+
 def test_rendering_fences_and_masks():
     rows = [{"path": "a.go", "level": 5, "total": 1.0, "lang": "go", "size": 9, "symbols": []}, {"path": "b.go", "level": 3, "total": 0.5, "lang": "go", "size": 9, "symbols": [{"name": "F", "kind": "func", "line": 1, "end_line": 2, "signature": "func F()", "doc": "Does."}]}, {"path": "c.go", "level": 0, "total": 0.0, "lang": "go", "size": 9, "symbols": []}]
     out = levels.render({"task": "x"}, rows, lambda p: "```\npassword = \"hunter2hunter2\"")
