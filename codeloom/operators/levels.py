@@ -131,8 +131,8 @@ def fit_tasks(rows: DataFrame, budget: int) -> DataFrame:
     return rows.groupBy("task_id").applyInPandas(run, f"task_id {kind}, path string, level int")
 
 
-def render(header: dict[str, str], rows: list[dict], source: Callable[[str], str]) -> str:
-    """Markdown of a plan: rows (path, level, total, lang, size, symbols) of one task; source reads a file's text.
+def render(header: dict[str, str], rows: list[dict], source: Callable[[str], str], excluded: int = 0) -> str:
+    """Markdown of a plan: rows (path, level, total, lang, size, symbols) of one task; source reads a file's text; excluded counts files that are not among the rows.
 
     Fences are longer than any in the content; likely credentials are masked. Highest levels first, then by total and path.
     """
@@ -159,6 +159,6 @@ def render(header: dict[str, str], rows: list[dict], source: Callable[[str], str
                 body = "\n".join(f"{n:>5} {x}" for n, x in enumerate(lines, 1))
             fence = "`" * max(3, 1 + max((len(x) for x in re.findall("`+", body)), default=0))
             out += [fence, mask(body), fence]
-    gone = sum(r["level"] == 0 for r in rows)
+    gone = excluded + sum(r["level"] == 0 for r in rows)
     out += ["", f"{gone} files excluded, {sum(r['level'] == 1 for r in rows)} at path only"]
     return "\n".join(out) + "\n"

@@ -14,8 +14,6 @@ from codeloom.operators import levels, seed, task, walk
 from codeloom.plans.store import Index
 
 CONFIG, DATA = ("yaml", "yml", "toml", "ini", "cfg", "env"), ("sql", "json", "csv")
-#: Files of one task that can have a level: the frontiers, what they reach, and as many seeds.
-CANDIDATES = 256
 
 
 @dataclass
@@ -25,6 +23,7 @@ class Plan:
     snapshot_id: str
     mode: str
     rows: list[dict] = field(default_factory=list)
+    excluded: int = 0  # files that no level reached, which are not in rows
 
 
 def role(path: Column) -> Column:
@@ -56,6 +55,15 @@ def seeds_of(index: Index, parsed: dict, forced: list[str]) -> DataFrame:
     return union
 
 
+def _forced(path: Column, forced: list[str]) -> Column:
+    return path.rlike("|".join(f"^{_glob(p)}$" for p in forced)) if forced else F.lit(False)
+
+
+def candidates(ranked: DataFrame, forced: list[str]) -> DataFrame:
+    """The files that the fit decides on: all that earned a level, and all forced ones."""
+    return ranked.filter((F.col("level") >= 1) | _forced(F.col("path"), forced))
+
+
 def select(index: Index, text: str, budget: int = 16_000, forced: list[str] | None = None, source: Callable[[str], str] | None = None) -> Plan:
     """The plan of one task; with no seed over the floor, the map of what is imported most.
 
@@ -69,19 +77,19 @@ def select(index: Index, text: str, budget: int = 16_000, forced: list[str] | No
     edges, files = index.read("edges"), index.read("files")
     if seed.in_map_mode(seeds):
         plan.mode = "map"
-        degree = walk.import_degree(edges).limit(CANDIDATES)
+        degree = walk.import_degree(edges)
         ranked = files.join(degree, "path", "left").select(F.lit("task").alias("task_id"), "path", (F.coalesce("degree", F.lit(0)) / (F.coalesce("degree", F.lit(0)) + 2)).alias("total"), F.lit(3).alias("level"))
     else:
         pinned = seeds.withColumn("seed", F.when(F.col("path").rlike("|".join(f"^{_glob(p)}$" for p in forced)), 1.0).otherwise(F.col("seed"))) if forced else seeds
         walked = walk.walk(pinned.select("task_id", "path", "seed"), walk.traversal(edges, parsed["flags"]["test_bias"]))
         named = signals.filter("signal IN ('S1', 'S2')").select("task_id", "path")
         ranked = levels.assign(walked.select("task_id", "path", "total", role(F.col("path")).alias("role")), edges, named, parsed["flags"]["config_bias"])
-    best = ranked.orderBy(F.desc("total"), "path").limit(CANDIDATES)
-    rows = [r.asDict() for r in best.join(files.select("path", "lang", "size"), "path").collect()]
+    rows = [r.asDict() for r in candidates(ranked, forced).join(files.select("path", "lang", "size"), "path").collect()]
+    plan.excluded = files.count() - len(rows)
     paths = index.spark.createDataFrame([(r["path"],) for r in rows] or [("",)], "path string")
     symbols: dict[str, list[dict]] = {}
     wanted = {t["lower"] for t in parsed["terms"]}
-    for s in index.read("symbols").join(F.broadcast(paths), "path", "left_semi").orderBy("path", "line", "name").collect():
+    for s in index.read("symbols").join(paths, "path", "left_semi").orderBy("path", "line", "name").collect():
         symbols.setdefault(s["path"], []).append(s.asDict() | {"selected": s["name"].lower() in wanted})
     signals.unpersist()
     seeds.unpersist()
@@ -99,4 +107,4 @@ def select(index: Index, text: str, budget: int = 16_000, forced: list[str] | No
 
 def render(plan: Plan, source: Callable[[str], str]) -> str:
     header = {"task": plan.task, "mode": plan.mode, "budget": str(plan.budget), "snapshot": plan.snapshot_id}
-    return levels.render(header, plan.rows, source)
+    return levels.render(header, plan.rows, source, plan.excluded)

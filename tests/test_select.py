@@ -162,6 +162,32 @@ def test_rendering_fences_and_masks():
     assert "````" in out and "hunter2" not in out and "func F()" in out and "1 files excluded" in out
 
 
+class FakeIndex:
+    def __init__(self, spark, tables):
+        self.spark, self.tables, self.manifest = spark, tables, {"snapshot_id": "x"}
+
+    def require_ready(self):
+        pass
+
+    def read(self, name):
+        return self.tables[name]
+
+
+def test_selection_keeps_all_files_with_a_level_and_all_forced_ones(spark):
+    from codeloom.plans import select
+
+    ranked = spark.createDataFrame([("task", f"a{i:03}.go", 0.2, 1) for i in range(300)] + [("task", f"z{i:03}.sql", 0.0, 0) for i in range(300)], "task_id string, path string, total double, level int")
+    assert {r["path"] for r in select.candidates(ranked, ["z*.sql"]).collect()} == {r["path"] for r in ranked.collect()}
+    assert select.candidates(ranked, []).count() == 300
+    files = spark.createDataFrame([(f"f{i:03}.go", "go", 30) for i in range(400)], "path string, lang string, size long").coalesce(1)
+    edges = spark.createDataFrame([("f000.go", f"f{i:03}.go", "import_out", 0.6) for i in range(1, 350)], "src string, dst string, kind string, weight double").coalesce(1)
+    symbols = spark.createDataFrame([], "path string, start_byte int, name string, kind string, line int, end_line int, signature string, doc string")
+    plan = select.select(FakeIndex(spark, {"files": files, "edges": edges, "symbols": symbols}), "", 100_000)
+    assert plan.mode == "map" and len(plan.rows) + plan.excluded == 400 and sum(r["level"] == 3 for r in plan.rows) == 400
+    assert sum(r["total"] > 0 for r in plan.rows) == 349
+    assert "7 files excluded" in levels.render({}, [], str, 7)
+
+
 def test_ignore_rules():
     rules = rules_of("*.log\n!keep.log\n/build/\ndocs/**/x\n# c\n", "")
     assert [ignored(p, d, rules) for p, d in (("a/b.log", False), ("keep.log", False), ("build", True), ("a/build", True), ("docs/1/2/x", False))] == [True, False, True, False, True]
