@@ -16,8 +16,8 @@ from codeloom.llm.common import materialize
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-#: Tokens of 20 to 200 characters that hold a digit, a capital and a small letter; also the known prefixes of providers.
-OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])"
+#: Tokens of 20 characters and more that hold a digit, a capital and a small letter, or begin like a provider's.
+OWNED = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])|(?=gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|sk-|npm_|pypi-|AIza|ASIA))[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "owned")
 #: A value that more owners than this carry is a widely copied example.
 MAX_OWNERS = 2
@@ -57,7 +57,7 @@ def _wider(text: Column, base: Column) -> Column:
     """Spans of wider tokens that no base span overlaps."""
     spans = F.filter(_spans(text, OWNED, 3), lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     value = lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"])
-    return F.filter(spans, lambda s: F.size(F.array_distinct(F.split(value(s), ""))) > LEAST_DISTINCT)
+    return F.filter(spans, lambda s: F.size(F.array_distinct(F.split(value(s), ""))) >= LEAST_DISTINCT)
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] = ()) -> DataFrame:

@@ -190,6 +190,15 @@ def test_secrets(docs, rows):
     assert all(r["n_live"] + r["n_copied"] == len([s for s in r["spans"].split(",") if s]) for r in got.collect())
 
 
+def test_long_and_prefixed_tokens_are_found(spark):
+    long = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0z" * 10
+    prefixed = "ghp_abcdefghijklmnop0123456789"
+    twelve = "aB1cD2eF3gH4aB1cD2eF3gH4"  # as many distinct characters as are asked for
+    few = "aB1cD2eF3gH" * 3
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame([(i, f"x {v} y", "en", "s") for i, v in enumerate((long, prefixed, twelve, few))], "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {0: f"owned:2:{2 + len(long)}", 1: f"owned:2:{2 + len(prefixed)}", 2: "owned:2:26", 3: ""}
+
+
 def test_cleaned_masks_spans_and_nothing_else(docs, rows):
     got = secret_scan.cleaned(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
