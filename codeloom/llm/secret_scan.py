@@ -2,8 +2,8 @@
 
 Three base kinds are found by fixed patterns. A fourth, wider generator proposes tokens
 that look random; on their own they are too many, so the hash of every value is counted over the corpus by
-distinct repositories and owners: a value that many owners carry is a widely copied example, one that
-stays with a few owners looks live, and only such are added as spans of kind ``owned``.
+distinct repositories and owners: a value that many carry is a widely copied example, one that
+stays with a few owners and repositories looks live, and only such are added as spans of kind ``owned``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ OWNED = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z
 KINDS = ("assign", "access", "hex", "owned")
 #: A value that more owners than this carry is a widely copied example.
 MAX_OWNERS = 2
+#: So is one in more repositories than this, also if they are of one owner.
+MAX_REPOS = 3
 #: Distinct characters that a candidate has at least.
 LEAST_DISTINCT = 12
 
@@ -85,7 +87,7 @@ def _live(rows: DataFrame, max_owners: int) -> DataFrame:
     """(key, live): the spans of owner-specific values by distinct text."""
     texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first(F.concat("base", "wider")).alias("all"))
     spans = texts.select("key", F.explode("all").alias("span"))
-    few = ownership(rows).filter(F.col("owners") <= max_owners).select("hash")
+    few = ownership(rows).filter((F.col("owners") <= max_owners) & (F.col("repos") <= MAX_REPOS)).select("hash")
     return spans.withColumn("hash", F.col("span.hash")).join(few, "hash", "left_semi").groupBy("key").agg(F.collect_list("span").alias("live"))
 
 
@@ -104,7 +106,7 @@ def with_spans(rows: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied), one row per input row.
 
-    The counts by kind are of base spans; n_live and n_copied divide all spans by whether their values stay with few owners. A null text is empty: it has no spans, and base_sha256 of the empty string. Null owners and repositories
+    The counts by kind are of base spans; n_live and n_copied divide all spans by whether their values stay with few owners and repositories. A null text is empty: it has no spans, and base_sha256 of the empty string. Null owners and repositories
     count as one of their own; null ids and repeated rows are kept. Columns other than those named are
     ignored, whatever their names; an empty table gives an empty result.
     """

@@ -199,6 +199,14 @@ def test_long_and_prefixed_tokens_are_found(spark):
     assert got == {0: f"owned:2:{2 + len(long)}", 1: f"owned:2:{2 + len(prefixed)}", 2: "owned:2:26", 3: ""}
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_copied(spark):
+    value = "x Zk3Qw9Xv7Lp2Rt8Ym4Bn6 y"
+    many = [(i, value, lang, "s") for i, lang in enumerate(("de", "en", "es", "fr"))]
+    for rows, owned in ((many, 0), (many[:3], 1), (many[:1] * 5, 1)):
+        got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+        assert {(r["n_owned"], r["n_live"], r["n_copied"]) for r in got} == {(owned, owned, 0)}
+
+
 def test_cleaned_masks_spans_and_nothing_else(docs, rows):
     got = secret_scan.cleaned(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
