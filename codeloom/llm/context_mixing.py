@@ -3,12 +3,13 @@
 A text is its words, A-Z lower-cased, and one end. Each token is a path of binary decisions:
 frequent words have a Huffman code over the training counts, other words an escape and
 then the Huffman codes of their bytes. For every decision three predictors say a probability: the
-code's own node, and the node's counts after the last symbol and after the last two, over all training documents.
-These counts are kept for every context (by a hash of 64 bits), in a table over the cluster. Their log-odds are mixed with weights chosen by a
-gate (which of the contexts have been seen often), and the weights are refined online, segment by segment, inside each
-text, from a start that was fitted on all training texts. The sum of the decisions' logarithms is the
-probability of the text, and with its bytes gives bits per byte.
+code's own node, and two tables of hashed contexts, the node with the last symbol and with the
+last two (of a spelled byte the last two and four), counted over all training documents. Their log-odds are mixed with
+weights chosen by a gate (which of the contexts have been seen often), and the weights are refined online, segment by
+segment, inside each text, from a start that was fitted on a share of the training texts, with tables that had not counted
+these. The sum of the decisions' logarithms is the probability of the text, and with its bytes gives bits per byte.
 
+Coded words and slots grow with the square root of the training tokens, so that the model can be broadcast.
 The base score is a smoothed unigram's, with exact counts of all words: frequent ones are looked up in the
 vocabulary, the others are joined with the table of counts.
 """
@@ -31,11 +32,15 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import materialize
 
 END = b"\n"  # no word holds white space
-#: Words with a code of their own, as a multiple of the square root of the training tokens; slots (a power of two) of a model that is scored without counts.
-CODED, SLOTS = 64, 10
-#: Symbols between two updates of a text's weights; words in one chunk of texts, training tokens in a bucket of contexts; words counted before they are passed on.
-SEGMENT, CHUNK, BUCKET, FLUSH = 16, 1 << 17, 1 << 22, 500_000
+#: Words with a code of their own, and slots of a table (rounded to a power of two), as multiples of the square root of the training tokens; the largest power, of 2 x 256 MB.
+CODED, SLOTS, WIDEST = 64, 256, 26
+#: One of so many training documents fits the start weights.
+SHARE = 32
+#: Symbols between two updates of a text's weights; words, and symbols, in one step of work; words counted before they are passed on.
+SEGMENT, WORK, STEP, FLUSH = 32, 1 << 16, 1 << 18, 500_000
 RATE, OFTEN, GATES, LEVELS = 1.0, 4, 4, 65
+#: Numbers in a block of counts, decisions counted before a pass over the table, blocks that are added up by one group.
+BLOCK, COUNTED, FAN_IN = 1 << 14, 1 << 21, 64
 FOLDS, HELD = 7, 2
 
 
@@ -43,13 +48,6 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A hash of 64 bits."""
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(32)
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     number = F.col(f"`{id_col}`").cast("long")
     held = F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
@@ -119,7 +117,7 @@ def _codes(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 @dataclass
 class Model:
-    """Codes and first weights; what contexts have counted is kept in a table over the cluster, and comes with the texts."""
+    """Codes, tables and first weights; its size is bounded by CODED and SLOTS times the root of the training tokens."""
 
     words: list[bytes]
     logs: np.ndarray  # log10(count + 1) of each word
@@ -127,30 +125,22 @@ class Model:
     nodes: np.ndarray
     bits: np.ndarray
     own: np.ndarray
-    tables: np.ndarray = field(default_factory=lambda: np.zeros((2, 1 << SLOTS), np.float32))
+    wide: int = 10  # bits of a slot's number
+    tables: np.ndarray | None = None
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.3, 0.5, 0.5], np.float32), (GATES, 1)))
 
     def __post_init__(self) -> None:
         self.of = {w: i for i, w in enumerate(self.words)}
-        self.odds = self.own[self.nodes]  # by place in the codes
-        # Leaves by their place in the tree, the words' before the letters'; and the first leaf below bit 1 of each node.
-        length = np.diff(self.start)
-        symbol, depth = np.repeat(np.arange(len(length)), length), np.arange(len(self.nodes)) - np.repeat(self.start[:-1], length)
-        path = np.zeros(len(length), np.uint64)
-        np.bitwise_or.at(path, symbol, self.bits.astype(np.uint64) << (63 - depth).astype(np.uint64))
-        self.symbol = np.lexsort((path, np.arange(len(length)) > len(self.words)))
-        self.leaf = np.empty(len(length), np.uint64)
-        self.leaf[self.symbol] = np.arange(len(length), dtype=np.uint64)
-        self.middle = np.full(len(self.own), len(length), np.uint64)
-        right = self.bits > 0
-        np.minimum.at(self.middle, self.nodes[right], self.leaf[symbol[right]])
-        self.wide = len(length).bit_length()
+        self.odds = self.own[self.nodes].astype(np.float32)  # of what comes, by place in the codes
+        self.odds[self.bits == 0] *= np.float32(-1)
+        if self.tables is None:
+            self.tables = np.zeros((2, 1 << self.wide), np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("of", "odds", "symbol", "leaf", "middle", "wide")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("of", "odds") and (k != "tables" or v.any())}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+        self.__dict__.update({"tables": None} | state)
         self.__post_init__()
 
     def stream(self, words: list[bytes], ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,125 +153,117 @@ class Model:
         takes = np.ones(len(ids), np.int64)
         takes[rare] = np.fromiter(map(len, spelled), np.int64, len(rare)) + 2
         at = np.cumsum(takes) - takes
-        out = np.empty(takes.sum(), np.int64)
+        out = np.empty(takes.sum(), np.int32)
         letter = np.ones(len(out), bool)
         letter[at] = False
         out[at] = ids
-        out[letter] = np.frombuffer(b" ".join(spelled) + b" ", np.uint8).astype(np.int64) + escape + 1
+        out[letter] = np.frombuffer(b" ".join(spelled) + b" ", np.uint8).astype(np.int32) + np.int32(escape + 1)
         return out, np.repeat(owner, takes)
 
-    def contexts(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes (64 bits) of two contexts of each symbol, and its place in its text.
+    def steps(self, symbols: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(symbols, texts, hashes of both contexts, places in the texts), at most STEP symbols at once.
 
-        Of a word the last symbol, and the last two; of a spelled byte the last two, and the last four.
+        The context is of a word the last symbol, and the last two; of a spelled byte the last two, and the last four.
         """
-        begin = np.flatnonzero(np.diff(owner, prepend=-1))
-        place = np.arange(len(symbols)) - np.repeat(begin, np.diff(begin, append=len(symbols)))
-        past, seen = (symbols + 2).astype(np.uint64), []
-        for k in range(1, 5):
-            past = np.concatenate([[1], past[:-1]]).astype(np.uint64)
-            past[place < k] = 1
-            seen.append(past)
-        one = _mixed(seen[0])
-        two = _mixed(one + seen[1])
-        letter = np.flatnonzero(symbols > len(self.words))
-        deep = _mixed(_mixed(two[letter] + seen[2][letter]) + seen[3][letter])
-        one[letter], two[letter] = two[letter], deep
-        return one, two, place
-
-    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the codes of all decisions, and how many each symbol takes."""
+        first = np.searchsorted(owner, np.arange(owner[-1] + 1 if len(owner) else 0)).astype(np.int32)
+        for lo in range(0, len(symbols), STEP):
+            back, hi = max(0, lo - 4), min(len(symbols), lo + STEP)
+            some, whose = symbols[back:hi], owner[back:hi]
+            place = np.arange(back, hi, dtype=np.int32) - first[whose]
+            past, seen = (some + 2).astype(np.uint32), []
+            for k in range(1, 5):
+                past = np.concatenate([[1], past[:-1]]).astype(np.uint32)
+                past[place < k] = 1
+                seen.append(past)
+            one = seen[0] * np.uint32(0x9E3779B1)
+            two = one ^ (seen[1] * np.uint32(0x85EBCA6B))
+            two ^= two >> np.uint32(15)
+            letter = np.flatnonzero(some > len(self.words))
+            deep = two[letter] * np.uint32(0x2C1B3C6D)
+            deep ^= seen[2][letter] * np.uint32(0x297A2D39)
+            deep ^= deep >> np.uint32(13)
+            deep = deep * np.uint32(0x85EBCA6B) ^ seen[3][letter] * np.uint32(0x9E3779B1)
+            one[letter], two[letter] = two[letter], deep ^ (deep >> np.uint32(15))
+            k = lo - back
+            yield some[k:], whose[k:], one[k:], two[k:], place[k:]
+
+    def decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the codes and the slots of both contexts of all decisions, and how many each symbol takes."""
         begin = self.start[symbols]
         n = self.start[symbols + 1] - begin
         at = np.repeat((begin - (np.cumsum(n) - n)).astype(np.int32), n)
         at += np.arange(len(at), dtype=np.int32)
-        return at, n
-
-    def keys(self, context: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The different pairs of context and symbol, sorted: context and leaf in one number, the high bits of the context (for buckets), the symbol; and which pair each symbol is."""
-        keys, first, which = np.unique(context << np.uint64(self.wide) | self.leaf[symbols], return_index=True, return_inverse=True)
-        return keys, context[first] >> np.uint64(64 - self.wide), symbols[first], which
-
-    def split(self, keys: np.ndarray, count: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Counts [came, other] of all decisions of the wanted keys, from all sorted keys of their contexts and their counts.
-
-        Leaves are numbered as they stand in the tree, so that what lies below a node is one range of keys.
-        """
-        total, wide = np.concatenate([[0], np.cumsum(count)]), np.uint64(self.wide)
-        base = wanted >> wide << wide
-        symbols = self.symbol[(wanted - base).astype(np.int64)]
-        begin, length = self.start[symbols], np.diff(self.start)[symbols]
-        put = np.cumsum(length) - length
-        out = np.zeros((2, int(length.sum())), np.int32)
-        lo = np.searchsorted(keys, base + np.where(symbols > len(self.words), len(self.words) + 1, 0).astype(np.uint64))
-        hi = np.searchsorted(keys, base + np.where(symbols > len(self.words), len(self.symbol), len(self.words) + 1).astype(np.uint64))
-        left = np.flatnonzero((length > 0) & (total[hi] > total[lo]))
-        depth = 0
-        while len(left):
-            at = begin[left] + depth
-            edge, a, b = base[left] + self.middle[self.nodes[at]], lo[left], hi[left]
-            middle = a + (keys[a] < edge)
-            many = np.flatnonzero(b - a > 1)
-            middle[many] = np.searchsorted(keys, edge[many])
-            zeros, ones, bit = total[middle] - total[a], total[b] - total[middle], self.bits[at].astype(bool)
-            out[0, put[left] + depth], out[1, put[left] + depth] = np.where(bit, ones, zeros), np.where(bit, zeros, ones)
-            lo[left], hi[left] = np.where(bit, middle, a), np.where(bit, b, middle)
-            depth += 1
-            left = left[(length[left] > depth) & (total[hi[left]] > total[lo[left]])]
-        return out
-
-    def inputs(self, symbols: np.ndarray, owner: np.ndarray, counts: list[np.ndarray] | None = None, less: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Log-odds of what came, by predictor and decision; the decisions' gates; and how many decisions each symbol takes.
-
-        counts: [came, other] of all decisions for each of the two contexts, from which ``less`` of what came is taken off;
-        without them the odds come from ``tables``, by slot.
-        """
-        at, n = self.decisions(symbols)
-        sign = self.bits[at].astype(np.float32) * np.float32(2) - np.float32(1)
-        out, gate = [self.odds[at] * sign], np.zeros(len(at), np.int64)
-        for k, context in enumerate(self.contexts(symbols, owner)[:2]) if counts is None else ():
-            slot = _mixed(np.repeat(context, n) + self.nodes[at].astype(np.uint64)) >> np.uint64(64 - SLOTS)
-            out.append(self.tables[k][slot.astype(np.int64)] * sign)
-        for k, (came, other) in enumerate(counts or ()):
-            came = np.maximum(came - less, 0)
-            out.append(np.clip(np.log((came + np.float32(0.4)) / (other + np.float32(0.4))), -8, 8).astype(np.float32))
-            gate += (came + other >= OFTEN) * (k + 1)
-        return out, gate, n
-
-    def score(self, symbols: np.ndarray, owner: np.ndarray, weights: np.ndarray, counts: list[np.ndarray] | None = None) -> np.ndarray:
+        hashed = self.nodes[at].view(np.uint32) * np.uint32(0xC2B2AE35)
+        slots = []
+        for c in (one, two):
+            h = np.repeat(c, n)
+            h ^= hashed
+            h *= np.uint32(0x27D4EB2F)
+            h >>= np.uint32(32 - self.wide)
+            slots.append(h.view(np.int32))
+        return at, slots[0], slots[1], n
+
+    def slots(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        """For each table, slot and bit of all decisions in one number."""
+        at, *slots, _ = self.decisions(symbols, one, two)
+        bit = self.bits[at]
+        for slot in slots:
+            slot <<= 1
+            slot |= bit
+        return slots
+
+    def inputs(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Log-odds of what came, by predictor and decision; the decisions' gates; and how many decisions each symbol takes."""
+        at, one, two, n = self.decisions(symbols, one, two)
+        one, two, sign = self.tables[0][one], self.tables[1][two], self.bits[at] * np.float32(2) - np.float32(1)
+        gate = (one.view(np.uint32) & np.uint32(1)).astype(np.int64)
+        gate += (two.view(np.uint32) & np.uint32(1)) * np.uint32(2)
+        one *= sign
+        two *= sign
+        return [self.odds[at], one, two], gate, n
+
+    def score(self, symbols: np.ndarray, owner: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The natural logarithm of each text's probability; ``weights`` [text, gate, predictor] are refined in place.
 
-        The texts' first segments are worked together, then their second ones, and so on.
+        In each step the texts' first segments are worked together, then their second ones, and so on.
         """
-        inputs, gate, n = self.inputs(symbols, owner, counts)
-        begin = np.flatnonzero(np.diff(owner, prepend=-1))
-        segment = (np.arange(len(symbols)) - np.repeat(begin, np.diff(begin, append=len(symbols)))) // SEGMENT
-        gate += np.repeat(owner * GATES, n)
-        cuts = np.cumsum(np.bincount(segment, n)).astype(np.int64) if len(n) else np.zeros(0, np.int64)
-        if len(cuts) > 1:
-            order = np.argsort(np.repeat(segment, n), kind="stable")
-            inputs, gate = [x[order] for x in inputs], gate[order]
         w = np.ascontiguousarray(weights.reshape(-1, 3).T)
         out = np.zeros(len(weights))
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-            # Only the texts that go on are touched.
-            used, g = np.unique(gate[a:b], return_inverse=True)
-            x = [i[a:b] for i in inputs]
-            z = w[0][used][g] * x[0]
-            z += w[1][used][g] * x[1]
-            z += w[2][used][g] * x[2]
-            np.clip(z, -30, 30, out=z)
-            e = np.exp(-z)
-            whole = e + 1
-            np.add.at(out, used // GATES, np.bincount(g, np.log(whole), len(used)))
-            e /= whole  # 1 - p of what came
-            count = np.maximum(np.bincount(g, minlength=len(used)), 64)
-            for k in range(3):
-                w[k][used] += (RATE * np.bincount(g, e * x[k], len(used)) / count).astype(np.float32)
+        for some, whose, one, two, place in self.steps(symbols, owner):
+            segment = place // SEGMENT
+            segment -= segment.min()
+            if segment.any():
+                order = np.argsort(segment, kind="stable")
+                some, whose, one, two, segment = some[order], whose[order], one[order], two[order], segment[order]
+            inputs, gate, n = self.inputs(some, one, two)
+            gate += np.repeat(whose * np.int64(GATES), n)
+            cuts = np.cumsum(np.bincount(segment, n)).astype(np.int64)
+            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
+                if a == b:
+                    continue
+                g, x = gate[a:b], [i[a:b] for i in inputs]
+                z = w[0][g] * x[0]
+                z += w[1][g] * x[1]
+                z += w[2][g] * x[2]
+                np.maximum(z, -30, out=z)
+                e = np.exp(np.negative(z, out=z), out=z)
+                whole = e + 1
+                out += np.bincount(g, np.log(whole), w.shape[1]).reshape(-1, GATES).sum(1)
+                e /= whole  # 1 - p of what came
+                rate = RATE / np.maximum(np.bincount(g, minlength=w.shape[1]), 64)
+                for k in range(3):
+                    w[k] += (rate * np.bincount(g, e * x[k], w.shape[1])).astype(np.float32)
         weights[:] = w.T.reshape(weights.shape)
         return -out
 
 
+def learned(counts: np.ndarray) -> np.ndarray:
+    """Log-odds of slots from counts [slot, bit]; the last bit of each number says whether the slot was seen often, so that one look-up gives both."""
+    n0, n1 = counts[:, 0], counts[:, 1]
+    odds = np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32).view(np.uint32)
+    return (odds & np.uint32(0xFFFFFFFE) | (n0 + n1 >= OFTEN)).astype(np.uint32).view(np.float32)
+
+
 def _model(counts: DataFrame, tokens: int) -> Model:
     """The codes: words from the most frequent class of counts down, as many whole classes as the bound allows."""
     rank = F.floor(F.log2("n") * 64).cast("int")
@@ -314,141 +296,124 @@ def _model(counts: DataFrame, tokens: int) -> Model:
     start = np.concatenate([[0], np.cumsum(lengths), lengths.sum() + np.cumsum(more)])
     nodes, bits = np.concatenate([nodes, letters + np.int32(len(own))]), np.concatenate([bits, last])
     logs = np.log10(np.array([n + 1.0 for n, _ in known]))
-    return Model([w for _, w in known], logs, start, nodes, bits, np.clip(np.concatenate([own, own_letters]), -8, 8))
+    wide = min(max(10, round(math.log2(SLOTS * math.isqrt(tokens) + 1))), WIDEST)
+    return Model([w for _, w in known], logs, start, nodes, bits, np.clip(np.concatenate([own, own_letters]), -8, 8), wide)
+
 
+def _grouped(model: Model, texts: Iterable[bytes | None]) -> Iterator[tuple[list[int], list[bytes], np.ndarray, np.ndarray]]:
+    """Texts that are worked at once: how many tokens each has, their words, and the words' numbers and texts. Only one group's words are held."""
+    escape, sizes, words = len(model.words), [], []
+
+    def group() -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+        ids = np.fromiter(map(model.of.get, words, repeat(escape)), np.int64, len(words))
+        return sizes, words, ids, np.repeat(np.arange(len(sizes)), sizes)
 
-def _words(model: Model, texts: Iterable[bytes | None]) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
-    """How many tokens each text has, the words, and the words' numbers and texts."""
-    sizes, words = [], []
     for text in texts:
         own = tokens(text)
         sizes.append(len(own))
         words += own
-    return sizes, words, np.fromiter(map(model.of.get, words, repeat(len(model.words))), np.int64, len(words)), np.repeat(np.arange(len(sizes)), sizes)
+        if len(words) >= WORK:
+            yield group()
+            sizes, words = [], []
+    if sizes:
+        yield group()
+
 
+def _tables(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds [table, slot] as counted over the training rows without the share that fits the weights, and over all.
 
-def chunked(rows: DataFrame) -> DataFrame:
-    """(chunk, ids, held, texts): texts that are worked at once, some CHUNK words, or one longer text."""
+    ``rows``: (text, fits). Each task adds up its own; blocks of counts are then added up FAN_IN at a time, however many tasks there are.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind, size_ = "block int, part int, fits int, counts binary", 2 << model.wide
+    block = min(BLOCK, size_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        model, found = shared.value, [None, None]
+        held: list[tuple[list, list]] = [([], []), ([], [])]
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            ids, fold, texts = zip(*held, strict=True)
-            made = [pa.array([number], pa.int64()), *(pa.array([list(x)], pa.list_(t)) for x, t in ((ids, pa.int64()), (fold, pa.bool_()), (texts, pa.binary())))]
-            held.clear()
-            return pa.RecordBatch.from_arrays(made, ["chunk", "ids", "held", "texts"])
+        def add_up() -> None:
+            # A pass over the whole table costs as much as a few million decisions.
+            for fits in range(2):
+                for t in range(2):
+                    if held[fits][t]:
+                        if found[fits] is None:
+                            found[fits] = np.zeros((2, size_), np.int32)  # of one task: fewer than 2^31
+                        found[fits][t] += np.bincount(np.concatenate(held[fits][t]), minlength=size_)
+                        held[fits][t].clear()
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                size += len((row[2] or b"").split()) + 1
-                if size >= CHUNK:
-                    yield out()
-                    number, size = number + 1, 0
-        if held:
-            yield out()
-
-    return rows.mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, texts array<binary>")
-
-
-def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
-    """Rows one at a time, as those of chunks are large."""
-    for batch in batches:
-        for k in range(len(batch)):
-            yield [c.slice(k, 1).to_pylist()[0] for c in batch.columns]
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers in planes of bytes, compressed."""
-    return zlib.compress(np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T).tobytes(), 1)
-
-
-def _unpacked(x: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
-def with_counts(chunks: DataFrame, shared, buckets: int) -> DataFrame:
-    """Adds to the chunks seen, for each bucket of contexts and table what the training texts' contexts have counted at the chunk's decisions.
-
-    The different pairs of context and symbol of a chunk go to their context's bucket, are added up there over the whole corpus, and come back as counts.
-    """
-    ask, answer = "bucket int, table int, chunk long, keys binary, n binary", "chunk long, bucket int, table int, counts binary"
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for chunk, held, texts in _each(batches):
-            _, words, ids, owner = _words(model, texts)
-            symbols, owner = model.stream(words, ids, owner)
-            trains, out = ~np.array(held)[owner], []
-            for t, context in enumerate(model.contexts(symbols, owner)[:2]):
-                keys, high, _, which = model.keys(context, symbols)
-                n, home = np.bincount(which, trains, len(keys)).astype(np.int32), (high % np.uint64(buckets)).astype(np.int64)
-                for k in np.unique(home):
-                    mine = home == k
-                    out.append((int(k), t, chunk, _packed(np.diff(keys[mine], prepend=np.uint64(0))), _packed(n[mine])))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "table", "chunk", "keys", "n"])
+            fit = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for fits in range(2):
+                for _, words, ids, owner in _grouped(model, (x.as_py() for x in batch.column(0).filter(pa.array(fit == bool(fits))))):
+                    for some, _, one, two, _ in model.steps(*model.stream(words, ids, owner)):
+                        for t, slot in enumerate(model.slots(some, one, two)):
+                            held[fits][t].append(slot)
+                        size += len(held[fits][0][-1])
+                        if size >= COUNTED:
+                            add_up()
+                            size = 0
+        add_up()
+        for fits in range(2):
+            if found[fits] is not None:
+                flat = found[fits].reshape(-1, block)
+                full = np.flatnonzero(flat.any(1))
+                part = TaskContext.get().partitionId()
+                made = [pa.array(full, pa.int32()), pa.array(np.full(len(full), part), pa.int32()), pa.array(np.full(len(full), fits), pa.int32()), pa.array([zlib.compress(flat[k].astype("<i4").tobytes(), 1) for k in full], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["block", "part", "fits", "counts"])
+
+    def summed(table: pa.Table) -> np.ndarray:
+        total = np.zeros((2, block), "<i8")
+        for fits, x in zip(table["fits"].to_pylist(), table["counts"], strict=True):
+            x = zlib.decompress(x.as_py())
+            total[fits] += np.frombuffer(x, "<i8" if len(x) == 8 * block else "<i4")
+        return total
 
     def add(table: pa.Table) -> pa.Table:
-        model = shared.value
-        asked = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]]
-        n = np.concatenate([_unpacked(x.as_py(), np.int32) for x in table["n"]])
-        keys = np.concatenate(asked)[n > 0]
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[n > 0][order].astype(np.int64)
-        begin = np.flatnonzero(np.diff(keys, prepend=np.uint64(0)) > 0) if len(keys) else np.zeros(0, np.int64)
-        keys, n = keys[begin], np.add.reduceat(n, begin) if len(begin) else n
-        keys = np.append(keys, np.uint64((1 << 64) - 1))  # so that every place can be read
-        counts = [_packed(model.split(keys, np.append(n, 0), own).reshape(-1)) for own in asked]
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "table": table["table"], "counts": pa.array(counts, pa.binary())})
-
-    asked = chunks.select("chunk", "held", "texts").mapInArrow(send, ask)
-    back = asked.groupBy("bucket", "table").applyInArrow(add, answer)
-    seen = back.groupBy("chunk").agg(F.collect_list(F.struct("table", "bucket", "counts")).alias("seen"))
-    return chunks.join(seen, "chunk")
-
-
-def _counts(model: Model, symbols: np.ndarray, owner: np.ndarray, seen: list[dict], buckets: int) -> list[np.ndarray]:
-    """Counts [came, other] of all decisions for each of the two contexts, put back from buckets."""
-    out, (_, takes) = [], model.decisions(symbols)
-    for t, context in enumerate(model.contexts(symbols, owner)[:2]):
-        _, high, symbol, which = model.keys(context, symbols)
-        home = (high % np.uint64(buckets)).astype(np.int64)
-        length = np.diff(model.start)[symbol]
-        parts = [_unpacked(x["counts"], np.int32).reshape(2, -1) for x in sorted((x for x in seen if x["table"] == t), key=lambda x: x["bucket"])]
-        flat = np.concatenate(parts, axis=1)
-        order = np.argsort(home, kind="stable")
-        begin = np.empty(len(symbol), np.int64)
-        begin[order] = np.cumsum(length[order]) - length[order]
-        at = np.repeat(begin[which] - (np.cumsum(takes) - takes), takes) + np.arange(int(takes.sum()))
-        out.append(flat[:, at])
-    return out
-
-
-def fitted(chunks: DataFrame, shared, buckets: int) -> np.ndarray:
-    """Start weights [gate, predictor] of least loss over all decisions of all training texts.
-
-    Each symbol is taken off its contexts' counts, so that it does not tell itself. What comes to the driver are numbers of
-    decisions by gate and log-odds, in steps of a quarter: as many cells at most for any input. A gate without decisions keeps its weights.
+        total, first = summed(table), [table["block"][0].as_py()] * 2
+        counts = [zlib.compress(x.tobytes(), 1) for x in total]
+        return pa.table({"block": pa.array(first, pa.int32()), "part": pa.array([table["part"][0].as_py() // FAN_IN] * 2, pa.int32()), "fits": pa.array([0, 1], pa.int32()), "counts": pa.array(counts, pa.binary())})
+
+    def finish(table: pa.Table) -> pa.Table:
+        total = summed(table)
+        odds = [zlib.compress(learned(x.reshape(-1, 2)).tobytes(), 1) for x in (total[0], total.sum(0))]
+        return pa.table({"block": table["block"][:1], "without": pa.array(odds[:1], pa.binary()), "whole": pa.array(odds[1:], pa.binary())})
+
+    sums, parts = rows.select("text", "fits").mapInArrow(run, kind), rows.rdd.getNumPartitions()
+    while parts > FAN_IN:
+        sums, parts = sums.groupBy("block", F.expr(f"part DIV {FAN_IN}")).applyInArrow(lambda _, table: add(table), kind), -(-parts // FAN_IN)
+    out = np.tile(learned(np.zeros((1, 2), np.int64)), (2, size_ // 2))
+    out = [out.reshape(-1, block // 2), out.copy().reshape(-1, block // 2)]
+    odds = materialize(sums.groupBy("block").applyInArrow(finish, "block int, without binary, whole binary"), "odds")
+    for r in odds.toLocalIterator():  # as many blocks as the model has
+        for x, c in zip(out, ("without", "whole"), strict=True):
+            x[r["block"]] = np.frombuffer(zlib.decompress(r[c]), np.float32)
+    return out[0].reshape(2, -1), out[1].reshape(2, -1)
+
+
+def start_weights(texts: DataFrame, shared) -> np.ndarray:
+    """Start weights [gate, predictor] of least loss over all decisions of the texts (column text), which the tables have not counted.
+
+    What comes to the driver are numbers of decisions by gate and log-odds, in steps of a quarter: as many cells
+    at most for any input. A gate without decisions keeps its weights.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, found = shared.value, np.zeros(LEVELS**3 * GATES, np.int64)
-        for held, texts, seen in _each(batches):
-            _, words, ids, owner = _words(model, texts)
-            symbols, owner = model.stream(words, ids, owner)
-            x, cell, n = model.inputs(symbols, owner, _counts(model, symbols, owner, seen, buckets), 1)
-            for k in range(3):
-                cell += np.rint((x[k] + 8) * ((LEVELS - 1) / 16)).astype(np.int64) * (GATES * LEVELS**k)
-            found += np.bincount(cell[np.repeat(~np.array(held)[owner], n)], minlength=len(found))
+        for batch in batches:
+            for _, words, ids, owner in _grouped(model, (x.as_py() for x in batch.column(0))):
+                for some, _, one, two, _ in model.steps(*model.stream(words, ids, owner)):
+                    x, cell, _ = model.inputs(some, one, two)
+                    for k in range(3):
+                        cell += np.rint((x[k] + 8) * ((LEVELS - 1) / 16)).astype(np.int64) * (GATES * LEVELS**k)
+                    found += np.bincount(cell, minlength=len(found))
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], ["cell", "n"])
 
-    sums = chunks.select("held", "texts", "seen").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, many = sums["cell"].to_numpy().astype(np.int64), sums["n"].to_numpy().astype(np.float64)
     odds = np.stack([cell // (GATES * LEVELS**k) % LEVELS * (16 / (LEVELS - 1)) - 8 for k in range(3)], axis=1)
     weights = shared.value.weights.astype(np.float64)
@@ -467,44 +432,61 @@ def fitted(chunks: DataFrame, shared, buckets: int) -> np.ndarray:
     return weights.astype(np.float32)
 
 
+def fitted(rows: DataFrame, counts: DataFrame, total: int) -> Model:
+    """The model of training rows (doc_id, text) and their counts."""
+    context = rows.sparkSession.sparkContext
+    model = _model(counts, total)
+    rows = rows.select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).alias("fits"))
+    model.tables, whole = _tables(rows, model)
+    shared = context.broadcast(model)
+    weights = start_weights(rows.filter("fits"), shared)
+    shared.destroy()
+    model.tables, model.weights = whole, weights
+    return model
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per input row.
 
     Documents with crc32(doc_id as text) mod 7 = 2 are held out; the others train. A null or empty text is its
     end alone. A null id counts as empty text for the fold, and trains. Repeated rows are kept, and train each time; other
     columns are ignored, whatever their names. An empty table gives an empty result; with no training document all words are unknown.
+    A long text is worked in steps, a long word is spelled like any other, so that memory is bounded by a text's symbols.
     """
     rows = _rows(docs, id_col, text_col)
     training = rows.filter(~F.col("held_out"))
     counts = materialize(word_counts(training), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model, buckets = _model(counts, total), -(-total // BUCKET) or 1
-    context = docs.sparkSession.sparkContext
-    chunks = materialize(with_counts(materialize(chunked(rows), "chunks"), context.broadcast(model), buckets), "seen")
-    model.weights = fitted(chunks, context.broadcast(model), buckets)
-    shared = context.broadcast(model)
+    model = fitted(training, counts, total)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     seen = model.logs > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         escape = len(model.words)
-        for doc_ids, held, texts, counted in _each(batches):
-            sizes, words, ids, owner = _words(model, texts)
-            n = len(sizes)
-            symbols, whose = model.stream(words, ids, owner)
-            score = model.score(symbols, whose, np.tile(model.weights, (n, 1, 1)), _counts(model, symbols, whose, counted, buckets))
-            known = ids < escape
-            n_known, logs = (np.bincount(owner[known], x[ids[known]], n) for x in (seen, model.logs))
-            rare = np.flatnonzero(~known)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=n))])
-            n_bytes = np.bincount(owner, np.fromiter(map(len, words), np.int64, len(words)), n).astype(np.int64) + np.array(sizes) - 1
-            made = [pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array([xxhash.xxh64_intdigest(x or b"") - (1 << 63) for x in texts], pa.int64())]
-            made += [pa.array(sizes, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(logs.astype(np.float64)), pa.array(n_bytes)]
-            made += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([words[k] for k in rare.tolist()], pa.binary())), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "held_out", "hash", "n_tokens", "known", "logs", "n_bytes", "rest", "score"])
+        for batch in batches:
+            out, score, done, rest, many = [], np.zeros(len(batch)), 0, [], [np.zeros(1, np.int64)]
+            for sizes, words, ids, owner in _grouped(model, (x.as_py() for x in batch.column(2))):
+                n = len(sizes)
+                score[done : done + n] = model.score(*model.stream(words, ids, owner), np.tile(model.weights, (n, 1, 1)))
+                known = ids < escape
+                sums = [np.bincount(owner[known], x[ids[known]], n) for x in (seen, model.logs)]
+                rare = np.flatnonzero(~known)
+                rest += [words[k] for k in rare.tolist()]
+                many.append(np.bincount(owner[rare], minlength=n))
+                n_bytes = np.bincount(owner, np.fromiter(map(len, words), np.int64, len(words)), n).astype(np.int64)
+                for k in range(n):
+                    digest = xxhash.xxh64_intdigest(batch.column(2)[done + k].as_py() or b"") - (1 << 63)
+                    out.append((digest, sizes[k], int(sums[0][k]), float(sums[1][k]), int(n_bytes[k]) + sizes[k] - 1))
+                done += n
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            made.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)), pa.int32()), pa.array(rest, pa.binary())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array(score)], ["doc_id", "held_out", "hash", "n_tokens", "known", "logs", "n_bytes", "rest", "score"])
 
     kind = "doc_id long, held_out boolean, hash long, n_tokens long, known long, logs double, n_bytes long, rest array<binary>, score double"
-    scored = materialize(chunks.select("ids", "held", "texts", "seen").mapInArrow(run, kind), "scored")
+    scored = materialize(rows.mapInArrow(run, kind), "scored")
     met = scored.select("doc_id", "hash", F.explode("rest").alias("word")).join(counts, "word", "left")
     sums = met.groupBy("doc_id", "hash").agg(
         F.sum(F.coalesce(F.log10(F.col("n") + 1), F.lit(0.0))).alias("more_logs"),

@@ -404,31 +404,41 @@ def test_mixed_decisions_make_a_distribution():
     assert sum(then) == pytest.approx(first[1], rel=1e-4)
 
 
-def test_every_context_is_counted_on_its_own(docs, rows, monkeypatch):
-    """What comes back from the buckets is what a plain count by whole contexts says, over all training texts."""
-    monkeypatch.setattr(context_mixing, "CHUNK", 500)
+def small_model(docs, tokens=4):
     renamed = context_mixing._rows(docs, "doc_id", "text")
-    model = context_mixing._model(context_mixing.word_counts(renamed.filter("NOT held_out")), 4)  # nearly all words are spelled
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    chunks = context_mixing.with_counts(context_mixing.chunked(renamed).localCheckpoint(), shared, 3).collect()
-    assert len(chunks) > 3 and sum(len(c["texts"]) for c in chunks) == len(rows)
-    streams = []
-    for c in chunks:
-        _, words, ids, owner = context_mixing._words(model, c["texts"])
-        streams.append((*model.stream(words, ids, owner), ~np.array(c["held"]), c["seen"]))
-
-    def paths(symbols, owner, table):
-        for k, s in enumerate(symbols.tolist()):
-            past = [*[-1] * 4, *symbols[:k][owner[:k] == owner[k]].tolist()]
-            deep = (1, 2) if s <= len(model.words) else (2, 4)
-            for at in range(model.start[s], model.start[s + 1]):
-                yield owner[k], (tuple(past[-deep[table] :]), model.nodes[at]), int(model.bits[at])
-
-    for table in range(2):
-        plain = Counter((key, bit) for symbols, owner, trains, _ in streams for o, key, bit in paths(symbols, owner, table) if trains[o])
-        for symbols, owner, _, seen in streams:
-            got = context_mixing._counts(model, symbols, owner, seen, 3)[table].T.tolist()
-            assert got == [[plain[key, bit], plain[key, 1 - bit]] for _, key, bit in paths(symbols, owner, table)]
+    return renamed, context_mixing._model(context_mixing.word_counts(renamed.filter("NOT held_out")), tokens)  # few tokens: nearly all words are spelled
+
+
+def test_tables_hold_the_counts_of_all_texts(docs, monkeypatch):
+    """Added up by tasks, blocks and rounds they are what a plain count over all decisions says, with and without the share."""
+    for name, value in (("BLOCK", 64), ("FAN_IN", 2), ("COUNTED", 3000), ("STEP", 500), ("WORK", 100)):
+        monkeypatch.setattr(context_mixing, name, value)
+    renamed, model = small_model(docs)
+    rows = renamed.select("text", (F.coalesce("doc_id", F.lit(1)) % 3 == 0).alias("fits")).repartition(7)
+    without, whole = context_mixing._tables(rows, model)
+    plain = np.zeros((2, 2, 2 << model.wide), np.int64)
+    for r in rows.collect():
+        _, words, ids, owner = next(context_mixing._grouped(model, [r["text"]]))
+        for some, _, one, two, _ in model.steps(*model.stream(words, ids, owner)):
+            for t, slot in enumerate(model.slots(some, one, two)):
+                plain[int(r["fits"]), t] += np.bincount(slot, minlength=2 << model.wide)
+    learned = lambda x: np.stack([context_mixing.learned(t.reshape(-1, 2)) for t in x])
+    assert np.array_equal(without.view(np.uint32), learned(plain[0]).view(np.uint32)) and np.array_equal(whole.view(np.uint32), learned(plain.sum(0)).view(np.uint32))
+
+
+def test_steps_carry_contexts_over(docs, rows, monkeypatch):
+    _, model = small_model(docs)
+    _, words, ids, owner = next(context_mixing._grouped(model, [(x or "").encode() for x in TEXTS]))
+    symbols, owner = model.stream(words, ids, owner)
+    once = [np.concatenate(x) for x in zip(*model.steps(symbols, owner), strict=True)]
+    monkeypatch.setattr(context_mixing, "STEP", 7)
+    assert all(np.array_equal(a, np.concatenate(b)) for a, b in zip(once, zip(*model.steps(symbols, owner), strict=True), strict=True))
+
+
+def test_a_giant_word_is_scored_in_steps(spark):
+    texts = ["x" * 2_000_000, "a b", None]
+    got = context_mixing.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == {(0, 2), (1, 3), (2, 1)} and all(r["score"] < 0 for r in got)
 
 
 def test_short_texts_refine_their_weights(monkeypatch):
@@ -436,31 +446,28 @@ def test_short_texts_refine_their_weights(monkeypatch):
     more, letters, last, odds = context_mixing._codes(np.ones(256, np.int64))
     start = np.concatenate([[0], np.cumsum(lengths), lengths.sum() + np.cumsum(more)])
     model = context_mixing.Model([b"a", b"b", b"\n"], np.zeros(3), start, np.concatenate([nodes, letters + np.int32(len(own))]), np.concatenate([bits, last]), np.concatenate([own, odds]))
-    symbols, owner = np.tile([0, 1, 0, 2], 20), np.repeat([0, 1], [60, 20])
+    symbols, owner = np.tile([0, 1, 0, 2], 40), np.repeat([0, 1], [100, 60])
     refined = model.score(symbols, owner, np.tile(model.weights, (2, 1, 1)))
     monkeypatch.setattr(context_mixing, "RATE", 0.0)
     fixed = model.score(symbols, owner, np.tile(model.weights, (2, 1, 1)))
-    assert (refined > fixed).all()  # texts of 60 and of 20 symbols learn what fits them
+    assert (refined > fixed).all()  # texts of 100 and of 60 symbols learn what fits them
 
 
-def test_all_training_texts_fit_the_weights(spark):
-    """Long texts too: the weights are where the loss over all decisions is least."""
+def test_the_start_weights_have_least_loss(spark):
+    """Over all decisions of all texts of the share, long ones too."""
     texts = [" ".join(np.random.default_rng(k).choice(_VOCABULARY, 20_000)) for k in range(2)] + ["", "a b a b a"]
     assert len(texts[0]) > 1 << 16
-    renamed = context_mixing._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").withColumn("held_out", F.lit(False))
-    model = context_mixing._model(context_mixing.word_counts(renamed), 10)
-    shared = spark.sparkContext.broadcast(model)
-    chunks = context_mixing.with_counts(context_mixing.chunked(renamed).localCheckpoint(), shared, 2).localCheckpoint()
-    weights = context_mixing.fitted(chunks, shared, 2)
+    renamed, model = small_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 10)
+    model.tables = context_mixing._tables(renamed.select("text", (F.col("doc_id") == 1).alias("fits")), model)[0]
+    weights = context_mixing.start_weights(renamed.filter("doc_id = 1"), spark.sparkContext.broadcast(model))
     assert not np.array_equal(weights, model.weights)
-    all_x, all_gates = [], []
-    for c in chunks.collect():
-        _, words, ids, owner = context_mixing._words(model, c["texts"])
-        symbols, owner = model.stream(words, ids, owner)
-        x, gate, _ = model.inputs(symbols, owner, context_mixing._counts(model, symbols, owner, c["seen"], 2), 1)
-        all_x.append(np.stack(x, axis=1).astype(float))
-        all_gates.append(gate)
-    x, gate = np.concatenate(all_x), np.concatenate(all_gates)
+    x, gate = [], []
+    for _, words, ids, owner in context_mixing._grouped(model, [texts[1].encode()]):
+        for some, _, one, two, _ in model.steps(*model.stream(words, ids, owner)):
+            said, own, _ = model.inputs(some, one, two)
+            x.append(np.stack(said, axis=1).astype(float))
+            gate.append(own)
+    x, gate = np.concatenate(x), np.concatenate(gate)
     for g in range(context_mixing.GATES):
         loss = lambda w: np.logaddexp(0, -x[gate == g] @ w).sum()  # noqa: B023, E731
         assert all(loss(weights[g]) <= loss(weights[g] * np.array(k)) * 1.002 + 1 for k in ((1.2, 1, 1), (0.8, 1, 1), (1, 1.2, 1), (1, 0.8, 1), (1, 1, 1.2), (1, 1, 0.8)))
