@@ -8,6 +8,8 @@ stays with a few owners and repositories looks live, and only such are added as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,26 +29,49 @@ MAX_REPOS = 3
 LEAST_DISTINCT = 12
 
 _SPAN = "array<struct<start:int,rank:int,stop:int,hash:string>>"
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Elements of a block of running sums; code points of a chunk of text.
+_BLOCK, _CHUNK = 128, 1024
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: what stands inside a lambda is computed anew for each of its calls."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _running(xs: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """The running f (associative, of whole numbers of at least 0) of an array, itself included.
+
+    Blocks are run through one by one and then moved by what stands before them, as an array that grows is copied in each step.
+    """
+    none = F.array().cast("array<int>")
+    step = lambda acc, x: F.concat(acc, F.array(f(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x)))
+    inner = lambda xs: F.transform(F.sequence(F.lit(0), F.size(xs) - 1, F.lit(_BLOCK)), lambda i: F.aggregate(F.slice(xs, i + 1, F.lit(_BLOCK)), none, step))
+    moved = lambda blocks, sums: F.flatten(F.transform(blocks, lambda b, i: _let(F.coalesce(F.get(sums, i - 1), F.lit(0)), lambda t: F.transform(b, lambda x: f(t, x)))))
+    whole = lambda blocks: _let(F.aggregate(blocks, none, lambda acc, b: step(acc, F.element_at(b, -1))), lambda sums: moved(blocks, sums))
+    return _let(xs, lambda x: F.when(F.size(x) > 0, _let(inner(x), whole)).otherwise(none))
 
 
-def _spans(text: Column, pattern: str, rank: int, least: int = 1, group: int = 0) -> Column:
+def _spans(text: Column, pattern: str, rank: int, least: int = 1, group: int = 0, distinct: int = 0) -> Column:
     """The pattern's leftmost non-overlapping matches, in code points, as structs (start, rank, stop, hash of the value).
 
     Matches and the pieces between them alternate, so positions are running sums of lengths.
-    Only matches whose ``group`` has ``least`` characters are returned.
+    Only matches whose ``group`` has ``least`` characters, and ``distinct`` different ones, are returned. Linear in text and matches.
     """
     lit = F.lit(pattern)
-    pieces, hits, kept = F.split(text, pattern, -1), F.regexp_extract_all(text, lit, F.lit(0)), F.regexp_extract_all(text, lit, F.lit(group))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, lit, F.lit(0)).alias("hit"), F.regexp_extract_all(text, lit, F.lit(group)).alias("value"))
+    width = lambda z: F.length(z["piece"]) + F.coalesce(F.length(z["hit"]), F.lit(0))
+    letters = F.array(*map(F.lit, _LETTERS))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(pieces, i))
-        stop = begin + F.length(F.get(hits, i))
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.sha2(F.get(kept, i), 256).alias("hash")))
-        return F.struct(stop.alias("at"), F.when(F.length(F.get(kept, i)) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def found(parts: Column) -> Column:
+        ends = _running(F.transform(parts, width), lambda a, b: a + b)
+        both = F.zip_with(parts, ends, lambda z, e: F.struct(z["hit"].alias("hit"), z["value"].alias("value"), e.alias("stop")))
+        ok = lambda x: x["hit"].isNotNull() & (F.length(x["value"]) >= least)
+        rich = lambda x: ok(x) & (F.size(F.filter(letters, lambda c: F.contains(x["value"], c))) >= distinct)
+        kept = F.filter(both, rich if distinct else ok)
+        return F.transform(kept, lambda x: F.struct((x["stop"] - F.length(x["hit"])).alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop"), F.sha2(x["value"], 256).alias("hash")))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _let(zipped, found)).otherwise(F.array().cast(_SPAN))
 
 
 def _said(spans: Column) -> Column:
@@ -56,10 +81,20 @@ def _said(spans: Column) -> Column:
 
 
 def _wider(text: Column, base: Column) -> Column:
-    """Spans of wider tokens that no base span overlaps."""
-    spans = F.filter(_spans(text, OWNED, 3), lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    value = lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"])
-    return F.filter(spans, lambda s: F.size(F.array_distinct(F.split(value(s), ""))) >= LEAST_DISTINCT)
+    """Spans of wider tokens that no base span overlaps: none begins before and ends inside, or begins inside."""
+    big = F.lit(2**31 - 1)
+
+    def apart(spans: Column) -> Column:
+        is_base = lambda s: s["rank"] < 3
+        before = _running(F.transform(spans, lambda s: F.when(is_base(s), s["stop"]).otherwise(0)), F.greatest)
+        # Distances from the end, so that the least is found as the greatest.
+        after = F.reverse(_running(F.reverse(F.transform(spans, lambda s: F.when(is_base(s), big - s["start"]).otherwise(0))), F.greatest))
+        edges = F.arrays_zip(before.alias("before"), after.alias("after"))
+        each = F.zip_with(spans, edges, lambda s, e: F.struct(s.alias("s"), (~is_base(s) & (e["before"] <= s["start"]) & (big - e["after"] >= s["stop"])).alias("free")))
+        return F.transform(F.filter(each, lambda x: x["free"]), lambda x: x["s"])
+
+    wide = _spans(text, OWNED, 3, distinct=LEAST_DISTINCT)
+    return _let(wide, lambda w: F.when(F.size(w) > 0, _let(F.array_sort(F.concat(base, w)), apart)).otherwise(w))
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -120,16 +155,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with its spans replaced; overlapping spans become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with its spans replaced; overlapping spans become one mark. Linear in text and spans: it is cut into chunks, as a substring is searched from the beginning."""
+
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _CHUNK).cast("int"), F.floor((b - 1) / _CHUNK).cast("int")
+        inside = F.substring(F.get(chunks, first), a % _CHUNK + 1, b - a)
+        parts = F.array(F.substring(F.get(chunks, first), a % _CHUNK + 1, F.lit(_CHUNK)), F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), F.substring(F.get(chunks, last), F.lit(1), (b - 1) % _CHUNK + 1))
+        return F.when(a >= b, "").when(first == last, inside).otherwise(F.array_join(parts, ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        apart = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def marked(chunks: Column, spans: Column, ends: Column) -> Column:
+        gaps = F.transform(spans, lambda s, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("a"), s["start"].alias("b")))
+        said = F.transform(F.filter(gaps, lambda g: g["b"] >= g["a"]), lambda g: F.concat(cut(chunks, g["a"], g["b"]), F.lit(mark)))
+        return F.concat(F.array_join(said, ""), cut(chunks, F.element_at(ends, -1), F.length(text)))
 
-    done = F.aggregate(F.array_sort(spans), start, step)
-    whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    whole = _let(F.array_sort(spans), lambda s: _let(_running(F.transform(s, lambda x: x["stop"]), F.greatest), lambda e: _let(chunks, lambda c: marked(c, s, e))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
