@@ -37,7 +37,7 @@ CODED, SLOTS, WIDEST = 64, 256, 26
 #: One of so many training documents fits the start weights.
 SHARE = 32
 #: Symbols between two updates of a text's weights; words, and symbols, in one step of work; words counted before they are passed on.
-SEGMENT, WORK, STEP, FLUSH = 32, 1 << 16, 1 << 18, 500_000
+SEGMENT, WORK, STEP, FLUSH = 48, 1 << 15, 1 << 17, 500_000
 RATE, OFTEN, GATES, LEVELS = 1.0, 4, 4, 65
 #: Numbers in a block of counts, decisions counted before a pass over the table, blocks that are added up by one group.
 BLOCK, COUNTED, FAN_IN = 1 << 14, 1 << 21, 64
@@ -84,7 +84,7 @@ def _codes(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     n = len(weights)
     order = np.argsort(weights, kind="stable")
     leaf, total = weights[order].tolist(), []
-    up, bit, odds = np.zeros(max(1, 2 * n - 1), np.int64), np.zeros(max(1, 2 * n - 1), np.uint8), []
+    up, bit, below = np.zeros(max(1, 2 * n - 1), np.int32), np.zeros(max(1, 2 * n - 1), np.uint8), np.zeros((2, max(0, n - 1)))
     i = j = 0
     for node in range(n, 2 * n - 1):
         pair = []
@@ -98,12 +98,12 @@ def _codes(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         (a, x), (b, y) = pair
         up[x] = up[y] = node
         bit[y] = 1
-        odds.append(np.log((b + 0.4) / (a + 0.4)))
+        below[:, node - n] = a, b
         total.append(a + b)
-    depth = np.zeros(max(1, 2 * n - 1), np.int64)
+    depth = np.zeros(max(1, 2 * n - 1), np.int32)
     for node in range(2 * n - 3, -1, -1):
         depth[node] = depth[up[node]] + 1
-    lengths = depth[:n]
+    lengths = depth[:n].astype(np.int64)
     nodes, bits = np.zeros(lengths.sum(), np.int32), np.zeros(lengths.sum(), np.uint8)
     at, here = np.cumsum(lengths) - 1, np.arange(n)
     alive = lengths > 0
@@ -112,7 +112,7 @@ def _codes(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         here[alive] = up[here[alive]]
         at[alive] -= 1
         alive &= here < 2 * n - 2
-    return lengths, nodes, bits, np.array(odds, np.float32)
+    return lengths, nodes, bits, np.log((below[1] + 0.4) / (below[0] + 0.4)).astype(np.float32)
 
 
 @dataclass
