@@ -42,9 +42,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded by Viterbi, over the unigram model of the file's pieces."""
     from codeloom.llm.sentencepiece_codec import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return round_trip(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), unigram=True)
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

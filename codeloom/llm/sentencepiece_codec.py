@@ -3,15 +3,17 @@
 Words of equal length advance together as one matrix. Every substring's hash probes the
 sorted keys of the pieces, which gives a table of scores by place and length. A unigram
 model is then solved by Viterbi over end positions, its maxima and backpointers for all
-words at once. A model of merges (BPE) is not what Viterbi maximizes, so for such a model the same
+words at once. A model of merges (BPE) is not what Viterbi maximizes: it can be read as a unigram model over
+the same pieces (``unigram=True``, scores from their ranks), or kept as it is, where the same
 table drives the merges instead: all words merge their best pair in each step. The ids are
-those of the library. Hash probes are confirmed by decoding each word; a word that differed is spelled by
+those of the library for either model. Hash probes are confirmed by decoding each word; a word that differed is spelled by
 looking its pieces up as strings.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,23 +29,41 @@ from codeloom.llm.memo import WordMemo
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _WORDS = re.compile(rb" *[^ ]+| +")
-#: Elements of a table at once; words longer than LONG merge by a heap.
-_CELLS, LONG = 1 << 21, 96
+#: Elements of a table at once; words longer than LONG merge by a heap, places of a longer word than WINDOW are worked by windows: with equal results.
+_CELLS, LONG, WINDOW = 1 << 21, 96, 1 << 15
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 
+def as_unigram(model: bytes) -> bytes:
+    """The unigram model over a model's pieces: minus the logarithm of a piece's place, in sixteenths.
+
+    Sums of sixteenths are exact in single precision up to a million, so that a text's parts and the whole
+    have the same best path.
+    """
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model)
+    proto.trainer_spec.model_type = UNIGRAM
+    for i, piece in enumerate(proto.pieces):
+        if piece.type == NORMAL:
+            piece.score = -round(16 * math.log(i + 1)) / 16
+    return proto.SerializeToString()
+
+
 class Codec(WordMemo):
     batch = 1 << 14
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, unigram: bool = False) -> None:
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
+            model = as_unigram(f.read()) if unigram else f.read()
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model)
         self.kind = proto.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only models of unigrams or merges")
@@ -132,9 +152,9 @@ class Codec(WordMemo):
 
     def _solve(self, words: list[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of words of one length, in a row, and how many each has."""
-        if self.kind == BPE and size > LONG:
+        if size > (LONG if self.kind == BPE else WINDOW):
             for w in words:
-                ids = self._spelled(w, self._heap(w))
+                ids = self._spelled(w, self._heap(w) if self.kind == BPE else self._path(w))
                 yield np.array(ids, np.int64), np.array([len(ids)])
             return
         with np.errstate(over="ignore"):
@@ -189,6 +209,28 @@ class Codec(WordMemo):
             lens[rows[on], at[on]] = step
         return lens
 
+    def _path(self, word: str) -> list[tuple[int, int]]:
+        """Viterbi over one long word, whose table is made a window at a time."""
+        chars, size, longest = np.frombuffer(word.encode("utf-32-le"), np.uint32), len(word), self.longest
+        back, best = np.zeros(size + 1, np.uint8 if longest < 256 else np.int32), np.full(longest, -np.inf, np.float32)
+        best[0] = 0  # of the place k at k % longest
+        for lo in range(0, size, WINDOW):
+            head = max(0, lo - longest + 1)
+            with np.errstate(over="ignore"):
+                table = self._table(chars[None, head : lo + WINDOW])[0]
+            score = np.where(table >= 0, self.scores[np.maximum(table, 0)], np.float32(-np.inf)).astype(np.float32)
+            score[:, 0] = np.where(table[:, 0] >= 0, score[:, 0], self.unk_score)
+            for end in range(lo + 1, min(size, lo + WINDOW) + 1):
+                k = np.arange(min(longest, end, score.shape[1]), 0, -1)  # longest first
+                reach = best[(end - k) % longest] + score[end - k - head, k - 1]
+                at = reach.argmax()
+                best[end % longest], back[end] = reach[at], k[at]
+        out, at = [], size
+        while at:
+            out.append((at - int(back[at]), int(back[at])))
+            at -= int(back[at])
+        return out[::-1]
+
     def _merges(self, table: np.ndarray) -> np.ndarray:
         """The same for merges: in each step every word joins its best pair, the leftmost of equals."""
         n, size, longest = table.shape
@@ -252,21 +294,21 @@ class Codec(WordMemo):
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    """One codec for each worker and file."""
-    return Codec(path)
+def codec(path: str, unigram: bool = False) -> Codec:
+    """One codec for each worker, file and reading."""
+    return Codec(path, unigram)
 
 
 def _pair(df: DataFrame, id_col: str, col: str, kind: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{col}`").cast(kind).alias("x"))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False) -> DataFrame:
     """(doc_id, ids array<int>), one row per input row; a null or empty text has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = codec(path).encode([x or b"" for x in b.column(1).to_pylist()])
+            ids = codec(path, unigram).encode([x or b"" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _pair(docs, id_col, text_col, "binary").mapInArrow(run, "doc_id long, ids array<int>")
@@ -283,7 +325,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return _pair(tokens, id_col, ids_col, "array<int>").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_pieces, ids_crc32, round_trip), one row per input row, without moving the ids.
 
     ids_crc32 is over little-endian unsigned 32-bit ids; round_trip tells whether decoding them gives the text. A null
@@ -293,7 +335,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, texts = codec(path), [x or b"" for x in b.column(1).to_pylist()]
+            code, texts = codec(path, unigram), [x or b"" for x in b.column(1).to_pylist()]
             rows = [(len(t), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), code.decode(ids) == t) for t, ids in zip(texts, code.encode(texts), strict=True)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             cols = list(zip(*rows, strict=True)) or [()] * 4

@@ -337,6 +337,38 @@ def test_viterbi_of_a_unigram_model(tmp_path):
         assert ids.tolist() == model.encode(text), text
 
 
+def plain_viterbi(pieces, text, unknown):
+    """Ids of the best path, character by character; of equal ones the one that begins its last piece first."""
+    best, back = [0.0], [(0, None)]
+    for end in range(1, len(text) + 1):
+        found = max(((best[i] + score, -i, k) for i in range(max(0, end - 64), end) for score, k in [pieces.get(text[i:end], (unknown if i == end - 1 else -math.inf, None))]), key=lambda x: x[:2])
+        best.append(found[0])
+        back.append((-found[1], found[2]))
+    out, at = [], len(text)
+    while at:
+        at, k = back[at][0], back[at][1]
+        out.append(k)
+    return out[::-1]
+
+
+def test_viterbi_on_whole_documents(docs, rows, monkeypatch):
+    """As the library and as a plain search say, over the unigram model of the file's pieces."""
+    with open(PIECES, "rb") as f:
+        model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.as_unigram(f.read()))
+    codec = sentencepiece_codec.Codec(PIECES, unigram=True)
+    for text, ids in zip(TEXTS, codec.encode([(x or "").encode() for x in TEXTS]), strict=True):
+        assert ids.tolist() == model.encode(text or "")
+        assert codec.decode(ids) == (text or "").replace("▁", " ").encode()
+    pieces = {model.id_to_piece(i): (model.get_score(i), i) for i in range(259, model.vocab_size())}
+    for text in ("Ein Wort", prose(30), "quality rules of the corpus", EXTRA):
+        assert model.encode(text) == plain_viterbi(pieces, ("▁" + text).replace(" ", "▁"), -99.0)
+    got = {r["doc_id"]: r for r in sentencepiece_codec.round_trip(docs, PIECES, unigram=True).collect()}
+    assert all(got[i]["ids_crc32"] == zlib.crc32(np.array(model.encode(x or ""), "<u4").tobytes()) for i, x in enumerate(TEXTS))
+    monkeypatch.setattr(sentencepiece_codec, "WINDOW", 50)
+    for long in ("abcdefgh" * 60, "é日x" * 70, "the" * 100 + " " * 120):
+        assert next(sentencepiece_codec.Codec(PIECES, unigram=True).encode([long.encode()])).tolist() == model.encode(long)
+
+
 def test_packing(docs, rows):
     tokenizer = Tokenizer.from_file(WORDS)
     want = []
