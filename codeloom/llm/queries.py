@@ -96,9 +96,10 @@ ORACLE: dict[str, str] = {
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 l AS (SELECT doc_id, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)::DOUBLE AS good FROM labels GROUP BY 1),
-h0 AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(good), 0) AS good, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two,
-    array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS three, string_split(host, '.')[-1] AS one FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host),
-h AS (SELECT host, n, good, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix FROM h0),
+g0 AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(good), 0) AS good, regexp_replace(host, '^[^@]*@|:[0-9]*$|[.]+$', '', 'g') AS site FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host),
+h0 AS (SELECT host, n, good, site, array_to_string(list_slice(string_split(site, '.'), -2, -1), '.') AS two,
+    array_to_string(list_slice(string_split(site, '.'), -3, -1), '.') AS three, string_split(site, '.')[-1] AS one, regexp_matches(site, '^[0-9.]+$|^\\[') AS numeric FROM g0),
+h AS (SELECT host, n, good, CASE WHEN numeric THEN site WHEN two IN ({_TWO}) THEN three ELSE two END AS domain, CASE WHEN numeric THEN '' WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix FROM h0),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
 x AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
 sh AS ({_strength_sql("h")}), sd AS ({_strength_sql("d")}), sx AS ({_strength_sql("x")}),

@@ -17,8 +17,14 @@ from codeloom.llm.common import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Suffixes of two labels under which names are registered; all others have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.in", "co.za", "com.cn", "com.mx", "com.tr")
+#: Suffixes of two labels under which names are registered, by their last label; all others have one. Data: other tables may be passed.
+TWO_LABEL_SUFFIXES = tuple(f"{x}.{last}" for last, first in {
+    "uk": "co org ac gov net sch nhs police me ltd plc", "au": "com net org edu gov id asn", "jp": "co ne or ac ad go ed gr lg", "br": "com net org gov edu", "nz": "co net org ac govt",
+    "in": "co net org ac gov firm gen", "za": "co org ac gov net web", "cn": "com net org gov edu ac", "mx": "com org gob edu", "tr": "com org gov edu net", "kr": "co or ac go ne re", "tw": "com org edu gov",
+    "hk": "com org edu gov", "sg": "com org edu gov", "my": "com org edu gov", "th": "co or ac go in", "id": "co or ac go web", "ph": "com org edu gov", "il": "co org ac gov", "ar": "com org gob edu",
+    "co": "com org edu gov", "pe": "com org edu gob", "ua": "com org edu gov", "pl": "com org edu gov", "es": "com org gob edu", "at": "co or ac gv", "hu": "co org", "eg": "com org edu gov", "ng": "com org edu gov", "ke": "co or ac go",
+    "io": "github gitlab", "app": "netlify vercel web", "com": "blogspot wordpress herokuapp", "dev": "pages workers",
+}.items() for x in first.split())
 Z, THRESHOLD = 1.6448536269514722, 0.5
 #: Rules in one expression at most; more of them are joined by host.
 INLINE_RULES = 256
@@ -79,15 +85,27 @@ def _matched_by_join(pages: DataFrame, order: list[Rule]) -> DataFrame:
     return pages.join(best, ["host", "path"], "left").withColumns({"rule": F.col("_found.rule"), "kind": F.col("_found.kind")}).drop("_found")
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The host without the name of a user and a port, under which pages of one site may stand."""
+    return F.regexp_replace(host, "^[^@]*@|:[0-9]*$|[.]+$", "")
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: one label more than the suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def _numeric(site: Column) -> Column:
+    return site.rlike(r"^[0-9.]+$|^\[")
+
+
+def suffix_of(host: Column, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """The public suffix; that of an address in numbers is empty."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(_numeric(site), "").when(two.isin(*two_labels), two).otherwise(F.substring_index(site, ".", -1))
+
+
+def domain_of(host: Column, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """The registered domain: one label more than the suffix; an address in numbers is its own."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(_numeric(site), site).when(two.isin(*two_labels), F.substring_index(site, ".", -3)).otherwise(two)
 
 
 def _strength(groups: DataFrame) -> Column:
@@ -133,7 +151,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     repeated rows are kept, without labels for the null; other columns are ignored, whatever their names. Empty tables give
     an empty result. No labels at all: every host without a rule is allowed.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    url = F.col(f"`{url_col}`")
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     labels = outcomes.filter("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
     labelled = rows.select("page_id", "host").join(labels, "page_id", "left")
     counts = labelled.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))

@@ -470,6 +470,31 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), outcomes).collect() == []
 
 
+def test_reputation_decides_by_host_domain_and_suffix(spark):
+    """A host with labels of its own, one judged by its domain, one by its suffix; and the same with good labels."""
+    def pages(good):
+        rows, labels, n = [], [], 0
+        for host, count, rate in (("bad.site.aa", 60, 0.0), ("a.low.bb", 60, 0.0), ("b.low.bb", 60, 0.0), ("new.low.bb", 0, 0.0), *((f"x{k}.y{k}.cc", 40, 0.0) for k in range(6)), ("fresh.z.cc", 0, 0.0), *((f"g{k}.h{k}.dd:8080", 40, 1.0) for k in range(8))):
+            for k in range(max(1, count)):
+                rows.append((n, f"http://{host}/p{k}"))
+                if count:
+                    labels.append((n, int(good or k < rate * count)))
+                n += 1
+        return spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good long")
+
+    for good in (False, True):
+        verdicts = {r["host"]: r["verdict"] for r in url_filter.judge(*pages(good), rules=()).collect()}
+        for host in ("bad.site.aa", "a.low.bb", "new.low.bb", "x0.y0.cc", "fresh.z.cc"):
+            assert verdicts[host] == ("allow" if good else "block"), host
+        assert verdicts["g0.h0.dd:8080"] == "allow"
+
+
+def test_registered_domains(spark):
+    want = {"a.b.co.kr": ("b.co.kr", "co.kr"), "me.github.io": ("me.github.io", "github.io"), "www.x.org:8080": ("x.org", "org"), "u@x.org": ("x.org", "org"), "10.0.0.1:80": ("10.0.0.1", ""), "": ("", ""), "localhost": ("localhost", "localhost")}
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", url_filter.domain_of(F.col("host")).alias("d"), url_filter.suffix_of(F.col("host")).alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in rows} == want
+
+
 # 7
 
 
