@@ -12,23 +12,32 @@ WEIGHTS = {"S1": 3.0, "S2": 2.0, "S3": 1.0, "S4": 1.0, "S5": 0.5, "S6": 0.5, "S7
 KAPPA, FLOOR, CANDIDATES = 2.0, 0.05, 2000
 
 
-def postings(rows: DataFrame, keys: list[str], *cols: Column) -> DataFrame:
-    """(keys, token, f, len): occurrences of each token in a row over all its columns."""
-    tokens = F.concat(*(fts_tokens(F.coalesce(c, F.lit(""))) for c in cols))
-    each = rows.select(*keys, tokens.alias("tokens")).withColumn("len", F.size("tokens"))
-    return each.select(*keys, "len", F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("f"), F.first("len").alias("len"))
+def matches(rows: DataFrame, keys: list[str], terms: DataFrame, *cols: Column) -> DataFrame:
+    """(keys, hits, len): how often each searched token stands in a row over all its columns; counted inside the row.
+
+    ``terms``, of a few tasks, is gathered into one array that rides along with each row, so that tokens of no task are
+    dropped before anything is exploded or shuffled.
+    """
+    wanted = terms.select(fold(F.col("term")).alias("token")).agg(F.array_sort(F.collect_set("token")).alias("wanted"))
+    tokens = rows.select(*keys, F.concat(*(fts_tokens(F.coalesce(c, F.lit(""))) for c in cols)).alias("tokens")).crossJoin(F.broadcast(wanted))  # one row
+    found = tokens.select(*keys, F.size("tokens").alias("len"), "wanted", F.array_sort(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("found"))
+    count = lambda w: F.struct(w.alias("token"), F.size(F.filter("found", lambda t: t == w)).cast("long").alias("f"))
+    return found.select(*keys, "len", F.transform(F.array_distinct("found"), count).alias("hits"))
 
 
 def bm25(rows: DataFrame, keys: list[str], terms: DataFrame, *cols: Column) -> DataFrame:
     """(task_id, term, keys, b) of rows that hold a term; every row counts in the statistics, with or without tokens.
 
-    Only the row count and the mean length, one row, come to the driver; document
-    frequencies are counted for the terms alone.
+    Only the row count, the mean length and the document frequencies of the terms are aggregated, combined before each shuffle;
+    rows without a term are dropped where they are read.
     """
-    n, avg = rows.agg(F.count(F.lit(1)), F.avg(F.size(F.concat(*(fts_tokens(F.coalesce(c, F.lit(""))) for c in cols))))).first()
-    hit = postings(rows, keys, *cols).join(terms.select("task_id", "term", fold(F.col("term")).alias("token")), "token")
-    df = hit.groupBy("task_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    return hit.join(df, ["task_id", "term"]).select("task_id", "term", *keys, bm25_term(F.lit(float(n)), F.col("df"), F.col("f"), F.col("len"), F.lit(float(avg or 1))).alias("b"))
+    found = matches(rows, keys, terms, *cols)
+    whole = found.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean"))
+    each = found.filter(F.size("hits") > 0).select(*keys, "len", F.explode("hits").alias("h")).select(*keys, "len", "h.token", "h.f")
+    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    named = terms.select("task_id", "term", fold(F.col("term")).alias("token")).join(df, "token").crossJoin(F.broadcast(whole))  # one row
+    hit = each.join(named, "token")
+    return hit.select("task_id", "term", *keys, bm25_term(F.col("n"), F.col("df"), F.col("f"), F.col("len"), F.coalesce("mean", F.lit(1.0))).alias("b"))
 
 
 def exact_names(symbols: DataFrame, terms: DataFrame) -> DataFrame:
@@ -54,7 +63,7 @@ def bm25_names(symbols: DataFrame, terms: DataFrame) -> DataFrame:
 
 def file_names(files: DataFrame, terms: DataFrame) -> DataFrame:
     """S2 and S3: (task_id, path, signal, score). A stem equal to a term counts 1, one that holds it 0.6, the best of all terms; each matching directory 0.5, up to 1."""
-    each = files.select("path", F.lower(stem_of(F.col("path"))).alias("stem"), F.explode(F.array_distinct(F.concat(F.transform(F.slice(F.split(F.lower("path"), "/"), 1, 99), lambda s: s)))).alias("segment"))
+    each = files.select("path", F.lower(stem_of(F.col("path"))).alias("stem"), F.explode(F.array_distinct(F.split(F.lower("path"), "/"))).alias("segment"))
     names = files.select("path", F.lower(stem_of(F.col("path"))).alias("stem"))
     few = F.broadcast(terms.select("task_id", "term"))  # a task has few terms
     stem = names.join(few, F.contains(F.col("stem"), F.col("term"))).groupBy("task_id", "path").agg(F.max(F.when(F.col("stem") == F.col("term"), 1.0).otherwise(0.6)).alias("v"))
@@ -70,7 +79,8 @@ def densities(contents: DataFrame, terms: DataFrame, candidates: DataFrame) -> D
     words = contents.join(top.select("path").distinct(), "path", "left_semi")
     out = []
     for signal, col, divisor in (("S5", "content", 8.0), ("S6", "docs", 4.0)):
-        found = postings(words, ["path"], F.col(col)).join(terms.select("task_id", fold(F.col("term")).alias("token")), "token")
+        each = matches(words, ["path"], terms, F.col(col)).select("path", F.explode("hits").alias("h")).select("path", "h.token", "h.f")
+        found = each.join(terms.select("task_id", fold(F.col("term")).alias("token")), "token")
         hits = found.join(top, ["task_id", "path"]).groupBy("task_id", "path").agg(F.sum("f").alias("hits"))
         out.append(hits.select("task_id", "path", F.lit(signal).alias("signal"), (F.lit(WEIGHTS[signal]) * density(F.col("hits"), divisor)).alias("score")))
     return out[0].unionByName(out[1])

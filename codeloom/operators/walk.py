@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import saturate
+from codeloom.plans.stage import Stage
 
 IMPORT_OUT, IMPORT_IN, TEST_AFFINITY, TEST_BIAS = 0.6, 0.45, 0.7, 1.25
 FRONTIER, HOPS, DECAY, PROP, FLOOR = 64, 2, 0.5, 0.8, 0.05
+#: Rows of frontiers that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def traversal(edges: DataFrame, test_bias: bool = False) -> DataFrame:
@@ -26,7 +29,8 @@ def _top(scores: DataFrame, col: str) -> DataFrame:
 
 def _hop(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """(task_id, path, prop): contributions are added in the order of their sources and sizes."""
-    reached = F.broadcast(frontier).join(edges, F.col("path") == F.col("src"))  # a task's frontier has 64 rows at most
+    small = frontier.count() <= BROADCAST_ROWS  # 64 rows a task, of any number of tasks
+    reached = (F.broadcast(frontier) if small else frontier).join(edges, F.col("path") == F.col("src"))
     part = reached.select("task_id", F.col("dst").alias("to"), F.struct("path", (F.col("score") * F.col("w") * DECAY).alias("c")).alias("c"))
     fold = F.aggregate(F.array_sort(F.collect_list("c")), F.lit(0.0), lambda a, b: a + b["c"])
     return part.groupBy("task_id", "to").agg(fold.alias("prop")).withColumnRenamed("to", "path")
@@ -35,12 +39,14 @@ def _hop(frontier: DataFrame, edges: DataFrame) -> DataFrame:
 def walk(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(task_id, path, seed, prop, total) from seeds (task_id, path, seed) and edges (src, dst, w).
 
-    The first frontier is the 64 best seeds of a task, the next the 64 best newly reached files.
+    Edges, seeds and frontiers are stored once, as each is read several times. The first frontier is the 64 best seeds of a task, the next the 64 best newly reached files.
     """
-    first = _top(seeds.filter(F.col("seed") >= FLOOR).select("task_id", "path", F.col("seed").alias("score")), "score")
-    one = _hop(first, edges)
+    stage = Stage(seeds.sparkSession)
+    seeds, edges = stage.keep(seeds.select("task_id", "path", "seed"), "seeds"), stage.keep(edges.select("src", "dst", "w"), "edges")
+    first = stage.keep(_top(seeds.filter(F.col("seed") >= FLOOR).select("task_id", "path", F.col("seed").alias("score")), "score"), "first")
+    one = stage.keep(_hop(first, edges), "one")
     fresh = one.join(first, ["task_id", "path"], "left_anti")
-    second = _top(fresh.select("task_id", "path", F.col("prop").alias("score")), "score")
+    second = stage.keep(_top(fresh.select("task_id", "path", F.col("prop").alias("score")), "score"), "second")
     two = _hop(second, edges)
     prop = one.withColumnRenamed("prop", "p1").join(two.withColumnRenamed("prop", "p2"), ["task_id", "path"], "full")
     prop = prop.select("task_id", "path", (F.coalesce("p1", F.lit(0.0)) + F.coalesce("p2", F.lit(0.0))).alias("prop"))

@@ -6,13 +6,13 @@ are wanted, never what they may see.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import ancestors, default_qualifier, dir_of, internal_violation, is_relative, last_segment, module_path, module_relative, resolve_relative
 from codeloom.functions.text import ref_weight
 from codeloom.operators.relational import CANDIDATE_CAP, first_wins, importable
+from codeloom.plans.stage import Stage
 from codeloom.schemas import conform
 
 #: Methods of everyday interfaces, whose names say nothing about the receiver.
@@ -98,19 +98,20 @@ def scopes(resolved: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]
 _REF = ["path", "start_byte", "end_byte"]
 
 
-def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Bindings (ref, unbound_reason, whether its qualifier is in scope) and targets (ref, target_path, qual_name, kind); and what is kept for both.
+def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Bindings (ref, unbound_reason, whether its qualifier is in scope) and targets (ref, target_path, qual_name, kind).
 
     Each class of references takes one branch of the rules; every reference gets exactly one row.
     """
     own_files = files.filter("pkg_name IS NOT NULL").select("path", F.col("pkg_dir").alias("dir"), F.col("pkg_name").alias("pkg"), F.col("path").endswith("_test.go").alias("is_test"))
     defs = symbols.join(own_files, "path").select("dir", "pkg", "name", F.col("path").alias("target_path"), "qual_name", "kind", "exported", F.col("is_test").alias("in_test"))
     # Definitions of a name in a file under several spans are one target.
-    defs = defs.distinct()
+    defs = stage.keep(defs.distinct(), "defs")
     exported = defs.filter("exported AND NOT in_test")
     qualifiers, dots = scopes(resolved, files)
     rows = refs.select(*_REF, "name", "kind", "qualifier").join(own_files, "path").join(qualifiers, ["path", "qualifier"], "left")
     rows = rows.withColumn("scope", F.when(F.col("qualifier").isNull(), "bare").when(F.col("in_repo").isNull(), "operand").when(F.col("in_repo"), "repo").otherwise("external"))
+    rows = stage.keep(rows, "rows")
     kind, scope = F.col("kind"), F.col("scope")
     lexical = (kind == "name_ref") | ((kind == "type_ref") & (scope == "bare"))
     scoped = (kind != "name_ref") & (scope == "repo")
@@ -137,7 +138,7 @@ def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFr
     # calls on a plain operand: the package's only visible method of that name
     methods = defs.filter("kind = 'method'").select("dir", "pkg", "name", "target_path", "qual_name", F.col("kind").alias("target_kind"), "in_test")
     d = rows.filter(method).join(methods, ["dir", "pkg", "name"]).filter(visible).select(*_REF, "target_path", "qual_name", "target_kind", F.lit("method").alias("via"))
-    found = a.unionByName(b).unionByName(c).unionByName(d).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    found = stage.keep(a.unionByName(b).unionByName(c).unionByName(d).distinct(), "found")
     sizes = found.groupBy(*_REF).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("via") == "own").alias("n_own"), F.count_if(F.col("via") == "dot").alias("n_dot"))
     said = rows.join(sizes, _REF, "left").fillna(0, ["n", "n_own", "n_dot"])
     n = F.col("n")
@@ -152,10 +153,11 @@ def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFr
         .when(n == 0, "no_candidate")
         .when(n > 1, "method_ambiguous")
     )
-    bindings = said.withColumn("unbound_reason", reason).select(*_REF, "unbound_reason", "scope").persist(StorageLevel.MEMORY_AND_DISK)
+    bindings = stage.keep(said.withColumn("unbound_reason", reason).select(*_REF, "unbound_reason", "scope"), "bindings")
     bound = bindings.filter("unbound_reason IS NULL").select(*_REF)
     targets = found.join(bound, _REF, "left_semi").select(*_REF, "target_path", "qual_name", F.col("target_kind").alias("kind"))
-    return bindings.select(*_REF, "unbound_reason", F.col("scope").isin("repo", "external").alias("qualified")), targets, [found, bindings]
+    targets = stage.keep(targets, "targets")
+    return bindings.select(*_REF, "unbound_reason", F.col("scope").isin("repo", "external").alias("qualified")), targets
 
 
 def link(files: DataFrame, resolved: DataFrame, targets: DataFrame) -> DataFrame:
@@ -176,24 +178,26 @@ def link(files: DataFrame, resolved: DataFrame, targets: DataFrame) -> DataFrame
 def derive(facts: dict[str, DataFrame], paths: DataFrame | None = None) -> dict[str, DataFrame]:
     """The derived tables; with ``paths`` (path), only rows that start in those files.
 
-    What several of them need is computed once and kept, on disk where memory ends, until :func:`release`.
+    What several of them need is computed once and kept until :func:`release`, which also keeps plans small.
     """
+    stage = Stage(facts["files"].sparkSession)
+    files = stage.keep(facts["files"].select("path", "pkg_dir", "pkg_name"), "files")
     narrow = lambda df, c="path": df.join(paths.select(F.col("path").alias(c)), c, "left_semi") if paths is not None else df
-    resolved = resolve_imports(facts["files"], narrow(facts["imports"]), facts["manifests"]).persist(StorageLevel.MEMORY_AND_DISK)
-    bindings, targets, held = bind(facts["files"], facts["symbols"], narrow(facts["refs"]), resolved)
-    edges = link(facts["files"], resolved, targets)
+    resolved = stage.keep(resolve_imports(files, narrow(facts["imports"]), stage.keep(facts["manifests"], "manifests")), "resolved")
+    bindings, targets = bind(files, facts["symbols"], narrow(facts["refs"]), resolved, stage)
+    edges = link(files, resolved, targets)
     # A file that has no package clause takes no part.
-    packaged = facts["files"].filter("pkg_name IS NOT NULL").select("path")
+    packaged = files.filter("pkg_name IS NOT NULL").select("path")
     resolution = resolved.join(packaged, "path", "left_semi").withColumn("resolved_file", F.lit(None).cast("string"))
     edges = edges.join(packaged.withColumnRenamed("path", "src"), "src", "left_semi")
     out = {"import_resolution": resolution, "bindings": bindings, "binding_targets": targets, "edges": narrow(edges, "src")}
-    return {k: conform(v, k) for k, v in out.items()} | {"_held": [resolved, *held]}
+    return {k: conform(v, k) for k, v in out.items()} | {"_stage": stage}
 
 
 def release(derived: dict) -> dict[str, DataFrame]:
     """Lets go of what was kept; returns the tables alone."""
-    for df in derived.pop("_held", []):
-        df.unpersist()
+    if stage := derived.pop("_stage", None):
+        stage.release()
     return derived
 
 

@@ -1,4 +1,4 @@
-"""The index on any Hadoop file system: Parquet segments and a manifest that is swapped by rename.
+"""The index on any Hadoop file system: Parquet segments and a numbered manifests, of which the last counts.
 
 A table is a list of segments. An update writes only its new rows, and the paths that older segments no longer
 speak for; a reader leaves those out by an anti-join, and after some updates the segments are merged. The
@@ -8,6 +8,7 @@ manifest names all that counts, so what a crash leaves beside it is never read.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,40 +29,63 @@ class Index:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._fs_path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.manifest = self._load()
+        at, conf = self._fs_path(self.path), spark._jsc.hadoopConfiguration()
+        self._fs = at.getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf) if at.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+        self.number, self.manifest = self._load()
 
     # the manifest
-    def _load(self) -> dict:
-        at = self._fs_path(f"{self.path}/MANIFEST.json")
-        if not self._fs.exists(at):
-            return {"schema_version": SCHEMA_VERSION, "state": "empty", "snapshot_id": "", "config_fingerprint": FINGERPRINT, "update_in_progress": False, "version": 0, "segments": {}, "gone": {}}
-        stream = self._fs.open(at)
+    def _numbers(self) -> list[int]:
+        at = self._fs_path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[9:-5]) for n in names if n.startswith("MANIFEST-") and n.endswith(".json") and n[9:-5].isdigit())
+
+    def _at(self, number: int) -> object:
+        return self._fs_path(f"{self.path}/MANIFEST-{number:012d}.json")
+
+    def _load(self) -> tuple[int, dict]:
+        """The manifest of the highest number; 0 and an empty one where there is none."""
+        number = max(self._numbers(), default=0)
+        if not number:
+            return 0, {"schema_version": SCHEMA_VERSION, "state": "empty", "snapshot_id": "", "config_fingerprint": FINGERPRINT, "update_in_progress": False, "version": 0, "segments": {}, "gone": {}}
+        stream = self._fs.open(self._at(number))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return number, json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def save(self, **changes: object) -> None:
-        """Swaps the manifest; readers see the old or the new one."""
-        self.manifest = self.manifest | changes
-        new, at = self._fs_path(f"{self.path}/MANIFEST.new"), self._fs_path(f"{self.path}/MANIFEST.json")
+        """Moves on to the next manifest, of which readers see nothing or all; fails if another writer did so first.
+
+        It is written aside and renamed to the next number, which must not exist. Former manifests stay until the sweep, so a crash
+        at any point leaves the old one or the new one in force.
+        """
+        new = self.manifest | changes
+        aside = self._fs_path(f"{self.path}/MANIFEST.{uuid.uuid4().hex}.new")
         self._fs.mkdirs(self._fs_path(self.path))
-        out = self._fs.create(new, True)
+        out = self._fs.create(aside, True)
         try:
-            out.write(bytearray(json.dumps(self.manifest, sort_keys=True).encode()))
+            out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
         finally:
             out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
-            raise IndexProblem("the manifest could not be swapped")
+        self._publish(aside, self._at(self.number + 1))
+        self.number, self.manifest = self.number + 1, new
+
+    def _publish(self, aside: object, at: object) -> None:
+        rename = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark._sc._gateway.new_array(rename, 1)
+        options[0] = getattr(rename, "NONE")
+        try:
+            self._files.rename(aside, at, options)
+        except Exception as e:
+            self._fs.delete(aside, False)
+            raise IndexProblem(f"another writer was first, or the manifest could not be written: {str(e)[:200]}") from e
 
     def step(self, expected: str, state: str, **changes: object) -> None:
         """Moves the life cycle on; fails if another writer moved it first."""
-        found = self._load()["state"]
-        if found != expected:
-            raise IndexProblem(f"state {found}, {expected} expected")
+        number, found = self._load()
+        if found["state"] != expected or number != self.number:
+            raise IndexProblem(f"state {found['state']} at {number}, {expected} at {self.number} expected")
         self.save(state=state, **changes)
 
     def check_open(self) -> None:
@@ -141,11 +165,14 @@ class Index:
             name = f.getPath().getName()
             if name.startswith("v") and name[1:].isdigit() and int(name[1:]) not in live:
                 self._fs.delete(f.getPath(), True)
+        for number in self._numbers():
+            if number < self.number:
+                self._fs.delete(self._at(number), False)
 
     def reset(self) -> None:
         """To an empty index."""
         self._fs.delete(self._fs_path(self.path), True)
-        self.manifest = self._load()
+        self.number, self.manifest = self._load()
         self.save()
 
 

@@ -133,11 +133,12 @@ c AS (SELECT doc_id, word || 'Handler2HTTPId' AS id FROM w WHERE length(word) >
 s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(id, '([\p{Ll}\p{N}])(\p{Lu})', '\1|\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1|\2', 'g'), '|') AS parts FROM c)
 SELECT doc_id, count(*) AS identifiers, sum(len(parts))::BIGINT AS pieces, max(list_max(list_transform(parts, lambda x: length(x)))) AS longest FROM s GROUP BY doc_id""")
 def camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-    ids = t(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word")).filter(F.length("word") > 3)
-    parts = text.split_camel(F.concat(F.col("word"), F.lit("Handler2HTTPId")))
-    each = ids.select("doc_id", parts.alias("parts"))
-    return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("identifiers"), F.sum(F.size("parts")).alias("pieces"), F.max(F.array_max(F.transform("parts", F.length))).cast("long").alias("longest"))
+    """Inside each row: its distinct words in a row of lines are split at once."""
+    words = F.filter(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+")), lambda x: F.length(x) > 3)
+    ids = t(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 0)
+    lines = F.array_join(F.transform("words", lambda w: F.concat(w, F.lit("Handler2HTTPId"))), "\n")
+    each = ids.select("doc_id", F.size("words").cast("long").alias("identifiers"), F.flatten(F.transform(F.split(lines, "\n"), text.split_camel)).alias("parts"))
+    return each.select("doc_id", "identifiers", F.size("parts").cast("long").alias("pieces"), F.array_max(F.transform("parts", F.length)).cast("long").alias("longest"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(text.STOPWORDS))
@@ -146,9 +147,11 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(text.STOPWORDS))
 @query(rf"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[^\p{{L}}\p{{N}}]+')) AS word FROM documents)
 SELECT lower(word) AS term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w WHERE length(word) >= 3 AND NOT regexp_matches(word, '^\p{{N}}') AND lower(word) NOT IN ({_STOP}) GROUP BY 1""")
 def term_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's words are counted apart before those of all are added up: ``docs`` needs no distinct over documents."""
     words = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[^\p{L}\p{N}]+")).alias("word"))
     kept = words.filter(~text.shape_dropped(F.col("word")) & ~text.is_stopword(F.lower("word")))
-    return kept.groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    each = kept.groupBy(F.lower("word").alias("term"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 @query(r"""WITH w AS (SELECT conv_id, turn, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS w FROM conversations)

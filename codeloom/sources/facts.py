@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,19 @@ from codeloom.functions.paths import dir_of
 from codeloom.schemas import EXTRACTED, conform
 from codeloom.sources import golang
 
-#: Language kernels, bytes and a budget in ms to facts; languages without one are unsupported.
-KERNELS: dict[str, Callable[[bytes, float], golang.File]] = {"go": golang.parse}
+#: Language kernels, bytes and a budget of steps to facts; languages without one are unsupported.
+KERNELS: dict[str, Callable[[bytes, int], golang.File]] = {"go": golang.parse}
 _PARSED = f"path:string,{EXTRACTED}"
 
 
-def extract(scan: DataFrame, budget_ms: float = golang.BUDGET_MS) -> DataFrame:
+def _column(kind: pa.ListType, lists: list[list[dict]]) -> pa.Array:
+    """Lists of rows as one array, built by columns."""
+    ends, rows = np.cumsum([0, *map(len, lists)]), [x for own in lists for x in own]
+    fields = list(kind.value_type)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([x[f.name] for x in rows], f.type) for f in fields], fields=fields), type=kind)
+
+
+def extract(scan: DataFrame, budget: int = golang.BUDGET) -> DataFrame:
     """(path, package_name, status, defs, refs, imports) of every file.
 
     Skipped files and manifests have status skipped, languages without a kernel unsupported, both without facts.
@@ -30,16 +38,17 @@ def extract(scan: DataFrame, budget_ms: float = golang.BUDGET_MS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            files = []
             for path, lang, content in zip(*(b[c].to_pylist() for c in ("path", "lang", "content")), strict=True):
                 if content is None or path.rpartition("/")[2] in ("go.mod", "go.sum"):
                     got = golang.File(status="skipped")
                 elif lang not in KERNELS:
                     got = golang.File(status="unsupported")
                 else:
-                    got = KERNELS[lang](content, budget_ms)
-                rows.append({"path": path, "package_name": got.package_name, "status": got.status, "defs": got.defs, "refs": got.refs, "imports": got.imports})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    got = KERNELS[lang](content, budget)
+                files.append(got)
+            head = [b["path"], pa.array([f.package_name for f in files], pa.string()), pa.array([f.status for f in files], pa.string())]
+            yield pa.RecordBatch.from_arrays([*head, *(_column(arrow.field(c).type, [getattr(f, c) for f in files]) for c in ("defs", "refs", "imports"))], schema=arrow)
 
     return scan.select("path", "lang", "content").mapInArrow(run, schema)
 

@@ -2,17 +2,23 @@
 
 A scanner with automatic semicolons, and a recursive descent over declarations, statements and
 expressions. On a syntax error the top-level declaration that has it is dropped, with its
-references, and the file is partial; the others stay.
+references, and the file is partial; the others stay. The work is bounded by steps (tokens read, and looked
+ahead at), so that a file has the same facts on any machine.
 """
 
 from __future__ import annotations
 
 import re
-import time
+import sys
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
-BUDGET_MS = 250.0
+import numpy as np
+
+#: Steps that a file may take: more than twice the tokens that a file of the largest parsed size can hold.
+BUDGET = 4 << 20
+#: Nested statements, expressions and types, each of some calls.
+DEPTH = 400
 KEYWORDS = frozenset("func type var const import package struct interface map chan if else for range switch case default select go defer return break continue goto fallthrough".split())
 #: Predeclared names, types first.
 UNIVERSE = frozenset(
@@ -23,7 +29,7 @@ _ENDS = frozenset(["break", "continue", "fallthrough", "return", "++", "--", ")"
 _OPS = ["<<=", ">>=", "&^=", "...", "&&", "||", "<-", "++", "--", "==", "!=", "<=", ">=", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<", ">>", "&^"]
 _TOKEN = re.compile(
     r"(?P<ws>[ \t\r]+)|(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)|(?P<name>[^\W\d]\w*)|(?P<num>(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9_]+)?|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?)i?)"
-    r'|(?P<str>"(?:\\.|[^"\\\n])*")|(?P<raw>`[^`]*`)|(?P<char>\'(?:\\[^\n]+?|[^\'\\\n])\')|(?P<op>' + "|".join(map(re.escape, _OPS)) + r"|[-+*/%&|^<>=!()\[\]{},;.:~])",
+    r'|(?P<str>"(?:\\.|[^"\\\n])*")|(?P<raw>`[^`]*`)|(?P<char>\'(?:\\[^\n]+?|[^\'\\\n])\')|(?P<op>' + "|".join(map(re.escape, _OPS)) + r"|[-+*/%&|^<>=!()\[\]{},;.:~])|(?P<bad>.)",
     re.DOTALL,
 )
 _BINARY = frozenset("|| && == != < <= > >= + - | ^ * / % << >> & &^".split())
@@ -35,11 +41,11 @@ class SyntaxProblem(Exception):
     pass
 
 
-class OutOfTime(Exception):
+class OutOfSteps(Exception):
     pass
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Token:
     kind: str  # name, keyword, num, str, op, eof, bad
     text: str
@@ -48,7 +54,7 @@ class Token:
     auto: bool = False
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Comment:
     text: str
     start: int
@@ -67,47 +73,47 @@ class File:
 
 
 class _Scanner:
-    def __init__(self, src: str, deadline: float) -> None:
+    def __init__(self, src: str, budget: int) -> None:
         self.src, self.tokens, self.comments = src, [], []
         self.lines = [0, *(m.end() for m in re.finditer("\n", src))]
-        at, n, last = 0, len(src), None
+        tokens, last = self.tokens, None
 
         def auto(pos: int) -> None:
             nonlocal last
             if last is not None and (last.kind in ("name", "num", "str") or last.text in _ENDS):
-                self.tokens.append(Token("op", ";", pos, pos, True))
+                tokens.append(Token("op", ";", pos, pos, True))
             last = None
 
-        steps = 0
-        while at < n:
-            steps += 1
-            if steps % 4096 == 0 and time.monotonic() > deadline:
-                raise OutOfTime
-            m = _TOKEN.match(src, at)
-            if not m:
-                last = Token("bad", src[at], at, at + 1)
-                self.tokens.append(last)
-                at += 1
+        for m in _TOKEN.finditer(src):
+            kind = m.lastgroup
+            if kind == "ws":
                 continue
-            kind, text, start, at = m.lastgroup, m[0], at, m.end()
+            start, end = m.span()
             if kind == "nl":
                 auto(start)
-            elif kind in ("line", "block"):
-                self.comments.append(Comment(text.rstrip("\r") if kind == "line" else text, start, start + len(text.rstrip("\r")) if kind == "line" else at, self.row(start), self.row(at - 1)))
-                if kind == "block" and "\n" in text:
+                continue
+            text = m[0]
+            if kind == "line":
+                text = text.rstrip("\r")
+                self.comments.append(Comment(text, start, start + len(text), self.row(start), self.row(end - 1)))
+            elif kind == "block":
+                self.comments.append(Comment(text, start, end, self.row(start), self.row(end - 1)))
+                if "\n" in text:
                     auto(start)
-            elif kind != "ws":
-                kind = "keyword" if kind == "name" and text in KEYWORDS else {"raw": "str", "char": "num"}.get(kind, kind)
-                last = Token(kind, text, start, at)
-                self.tokens.append(last)
-        auto(n)
-        self.tokens.append(Token("eof", "", n, n))
+            else:
+                kind = "keyword" if kind == "name" and text in KEYWORDS else "str" if kind == "raw" else "num" if kind == "char" else kind
+                last = Token(kind, text, start, end)
+                tokens.append(last)
+                if len(tokens) > budget:
+                    raise OutOfSteps
+        auto(len(src))
+        tokens.append(Token("eof", "", len(src), len(src)))
 
     def row(self, at: int) -> int:
         return bisect_right(self.lines, at) - 1
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class _Ref:
     kind: str
     token: Token
@@ -117,10 +123,11 @@ class _Ref:
 class _Parser:
     """refs collects every reference; declared the positions of names that declare something."""
 
-    def __init__(self, src: str, deadline: float) -> None:
-        self.src, self.deadline = src, deadline
-        self.scan = _Scanner(src, deadline)
+    def __init__(self, src: str, budget: int) -> None:
+        self.src = src
+        self.scan = _Scanner(src, budget)
         self.tokens, self.at = self.scan.tokens, 0
+        self.left = budget - len(self.tokens)
         self.refs: list[_Ref] = []
         self.bodies: list[tuple[int, int]] = []  # of function literals, for signatures
         self.depth = 0
@@ -135,11 +142,15 @@ class _Parser:
 
     def next(self) -> Token:
         t = self.tokens[self.at]
-        if self.at % 512 == 0 and time.monotonic() > self.deadline:
-            raise OutOfTime
+        self.spend(1)
         self.at = min(self.at + 1, len(self.tokens) - 1)
         return t
 
+    def spend(self, steps: int) -> None:
+        self.left -= steps
+        if self.left < 0:
+            raise OutOfSteps
+
     def got(self, text: str) -> Token | None:
         return self.next() if self.tok.text == text and self.tok.kind in ("op", "keyword") else None
 
@@ -201,7 +212,7 @@ class _Parser:
     def type_(self) -> str:
         """Parses a type and says its shape, which decides whether keys of its literals are fields."""
         self.depth += 1
-        if self.depth > 400:
+        if self.depth > DEPTH:
             raise SyntaxProblem("too deep")
         try:
             t = self.tok
@@ -280,9 +291,11 @@ class _Parser:
             text = self.tokens[k].text
             depth += (text == "[") - (text == "]")
             if depth == 0:
+                self.spend(k - self.at)
                 after = self.tokens[k + 1] if k + 1 < len(self.tokens) else None
                 return after is not None and (after.text in (";", "}") or after.kind == "str") and k > self.at + 2
             k += 1
+        self.spend(k - self.at)
         return False
 
     def interface_body(self) -> None:
@@ -358,8 +371,10 @@ class _Parser:
             text = self.tokens[k].text
             depth += (text == "[") - (text == "]")
             if depth == 0:
+                self.spend(k - self.at)
                 return self.tokens[k + 1].text in (",", ")") and k > self.at + 2
             k += 1
+        self.spend(k - self.at)
         return False
 
     def type_parameters(self) -> None:
@@ -378,7 +393,7 @@ class _Parser:
     def expr(self, brace: bool = True) -> _Ref | None:
         """Parses one; returns its reference when it is a lone name. brace: whether a literal may follow a type name."""
         self.depth += 1
-        if self.depth > 400:
+        if self.depth > DEPTH:
             raise SyntaxProblem("too deep")
         try:
             lone = self.unary(brace)
@@ -560,7 +575,7 @@ class _Parser:
 
     def statement(self) -> None:
         self.depth += 1
-        if self.depth > 400:
+        if self.depth > DEPTH:
             raise SyntaxProblem("too deep")
         try:
             t = self.tok
@@ -856,23 +871,26 @@ class _Docs:
         return "\n".join(paragraph) or None
 
 
-def parse(source: bytes, budget_ms: float = BUDGET_MS) -> File:
-    """Facts of one file; never raises. Out of time: status timeout and no facts."""
-    src = source.decode("utf-8", errors="replace")
-    deadline = time.monotonic() + budget_ms / 1000
-    if budget_ms <= 0:
-        return File(status="timeout")
+def parse(source: bytes, budget: int = BUDGET) -> File:
+    """Facts of one file; never raises. Out of steps: status timeout and no facts. Bytes that are no UTF-8 keep their place in offsets."""
+    src = source.decode("utf-8", errors="surrogateescape")
     out = File()
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 20 * DEPTH))
     try:
-        p = _Parser(src, deadline)
-        _file(p, out)
-    except OutOfTime:
+        _file(_Parser(src, budget), out)
+    except OutOfSteps:
         return File(status="timeout")
-    except RecursionError:
-        return File(status="partial")
+    finally:
+        sys.setrecursionlimit(limit)
     return out
 
 
+def _shown(text: str | None) -> str | None:
+    """Text that may be stored: bytes that are no UTF-8 become the replacement character."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
 def _file(p: _Parser, out: File) -> None:
     scan, defs, imports, kept, dropped = p.scan, [], [], [], []
     if any(t.kind == "bad" for t in p.tokens):
@@ -914,7 +932,7 @@ def _file(p: _Parser, out: File) -> None:
             defs += found
             imports += got
             kept += p.refs
-        except SyntaxProblem:
+        except (SyntaxProblem, RecursionError):
             out.status = "partial"
             dropped.append(begin)
             p.recover(begin + 1)
@@ -928,9 +946,9 @@ def _file(p: _Parser, out: File) -> None:
         if d["name"] == "_":
             continue
         doc = docs.of(d["start"])
-        out.defs.append({"name": d["name"], "qual_name": f"{d['container']}.{d['name']}" if d["container"] else d["name"], "kind": d["kind"], **span(d["start"], d["end"]), "container": d["container"], "exported": d["name"][:1].isupper(), "signature": d["signature"], "doc": doc})
+        out.defs.append({"name": d["name"], "qual_name": f"{d['container']}.{d['name']}" if d["container"] else d["name"], "kind": d["kind"], **span(d["start"], d["end"]), "container": d["container"], "exported": d["name"][:1].isupper(), "signature": _shown(d["signature"]), "doc": _shown(doc)})
     out.defs.sort(key=lambda d: (d["start_byte"], d["end_byte"], d["name"]))
-    out.imports = [{"raw": i["raw"], "alias": i["alias"], "kind": i["kind"], **span(i["start"], i["end"])} for i in imports]
+    out.imports = [{"raw": _shown(i["raw"]), "alias": i["alias"], "kind": i["kind"], **span(i["start"], i["end"])} for i in imports]
     out.imports.sort(key=lambda i: (i["start_byte"], i["raw"]))
     starts = [d["start_byte"] for d in out.defs]
     for r in kept:
@@ -950,10 +968,10 @@ class _Bytes:
     def __init__(self, src: str) -> None:
         self.ascii = src.isascii()
         if not self.ascii:
-            total, self.at = 0, [0]
-            for c in src:
-                total += len(c.encode("utf-8", errors="replace"))
-                self.at.append(total)
+            c = np.frombuffer(src.encode("utf-32-le", "surrogatepass"), np.uint32)
+            n = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+            n[(c >= 0xDC80) & (c <= 0xDCFF)] = 1  # a byte that is no UTF-8
+            self.at = [0, *np.cumsum(n).tolist()]
 
     def of(self, k: int) -> int:
         return k if self.ascii else self.at[k]

@@ -8,30 +8,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.plans import incremental
 from codeloom.plans.store import Index
+from codeloom.sources.golang import BUDGET
 from codeloom.schemas import SCAN
 
 
-def apply_changes(index: Index, changed: DataFrame, budget_ms: float = 250.0) -> incremental.Run | None:
+def apply_changes(index: Index, changed: DataFrame, budget: int = BUDGET) -> incremental.Run | None:
     """An update by scan rows of changed files alone; size -1 deletes a path. Of several rows of a path the latest counts.
 
     The rest of the stored files is taken as unchanged. Applying a batch again changes nothing, so a replay after a failure is safe.
     """
     last = changed.groupBy("path").agg(F.max_by(F.struct(*(c for c in SCAN.names if c != "path")), "mtime").alias("r")).select("path", "r.*").select(*SCAN.names)
-    last = last.persist()
     if index.manifest["state"] == "empty":
-        incremental.build(index, last.filter("size >= 0"), budget_ms)
+        incremental.build(index, last.filter("size >= 0"), budget)
         return None
     stored = index.read("files").select("path", "lang", "size", "mtime", "hash", "skip").withColumn("content", F.lit(None).cast("binary"))
     whole = stored.join(last.select("path"), "path", "left_anti").unionByName(last.filter("size >= 0"))
-    return incremental.update(index, whole, budget_ms)
+    return incremental.update(index, whole, budget)
 
 
-def maintain(stream: DataFrame, path: str, checkpoint: str, budget_ms: float = 250.0, **trigger: object) -> StreamingQuery:
+def maintain(stream: DataFrame, path: str, checkpoint: str, budget: int = BUDGET, **trigger: object) -> StreamingQuery:
     """Starts a query that keeps the index at ``path`` up to a stream of scan rows."""
 
     def step(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            apply_changes(Index(batch.sparkSession, path), batch, budget_ms)
+            apply_changes(Index(batch.sparkSession, path), batch, budget)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -8,7 +8,7 @@ from codeloom.sources.golang import parse
 
 
 def go(body, **more):
-    return parse(b"package p\n" + body.encode(), 5000, **more)
+    return parse(b"package p\n" + body.encode(), **more)
 
 
 def refs(body):
@@ -95,7 +95,7 @@ def test_broken_declaration_is_dropped_alone():
 
 def test_spans_are_bytes():
     src = "package p\n\nvar é = ü\n".encode()
-    got = parse(src, 5000)
+    got = parse(src)
     assert src[got.defs[0]["start_byte"] : got.defs[0]["end_byte"]].decode() == "é = ü"
     assert src[got.refs[0]["start_byte"] : got.refs[0]["end_byte"]].decode() == "ü"
 
@@ -111,7 +111,7 @@ def test_no_time_left():
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=400))
 def test_any_bytes(data):
-    got = parse(data, 5000)
+    got = parse(data)
     assert got.status in ("ok", "partial")
     for kind in (got.defs, got.refs, got.imports):
         assert all(x["start_byte"] <= x["end_byte"] for x in kind)
@@ -121,4 +121,35 @@ def test_any_bytes(data):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["func ", "F", "(", ")", "{", "}", "type ", "T ", "struct", "[", "]", "int", "\n", ":=", "x", ".", ",", "if ", "for ", "range ", "var ", "= ", "1", '"s"', "// c\n"]), max_size=60))
 def test_go_shaped_pieces(pieces):
-    assert parse(("package p\n" + "".join(pieces)).encode(), 5000).status in ("ok", "partial")
+    assert parse(("package p\n" + "".join(pieces)).encode()).status in ("ok", "partial")
+
+
+def large(n):
+    body = "// Doc {i}\nfunc (t *T) F{i}(a int, b string) (int, error) {{\n\tif a > {i} {{ return x.Foo(a, b), nil }}\n\tfor i := 0; i < a; i++ {{ t.y[i] = append(t.y[i], map[string]int{{\"a\": i}}) }}\n\treturn G{i}(a), nil\n}}\n"
+    return ("package p\n\n" + "\n".join(body.format(i=i) for i in range(n))).encode()
+
+
+def test_files_up_to_the_parsed_size_keep_their_facts():
+    """Whatever the machine does at the time: the budget counts steps."""
+    src = large(5200)[: (1 << 20) - 200]
+    src = src[: src.rindex(b"\n}\n") + 3]
+    got = parse(src)
+    assert len(src) > 1_000_000 and got.status == "ok" and len(got.defs) == src.count(b"func (") and parse(src).refs == got.refs
+    assert parse(b"package p\n" + b"var x = (1)\n" * 87_000).status == "ok"
+    dense = parse(b"package p\nvar x = []int{" + b"1," * 520_000 + b"}\n")
+    assert dense.status == "ok" and [d["name"] for d in dense.defs] == ["x"]
+
+
+def test_deep_nesting_costs_its_declaration_alone():
+    deep = "func Deep() { " + "if x { " * 300 + "y()" + " }" * 300 + " }\n"
+    assert [d["name"] for d in parse(("package p\n" + deep + "func After() {}\n").encode()).defs] == ["Deep", "After"]
+    deeper = "var v = " + "(" * 3000 + "1" + ")" * 3000 + "\n"
+    got = parse(("package p\nfunc Before() {}\n" + deeper + "func After() {}\n").encode())
+    assert got.status == "partial" and [d["name"] for d in got.defs] == ["Before", "After"]
+
+
+def test_offsets_after_bytes_that_are_no_utf8():
+    src = b"package p\n\n// caf\xe9 \xc3\xa9\nfunc A() { B(\"\xff\xfe\") }\n\nfunc B(s string) {}\n"
+    got = parse(src)
+    assert [src[d["start_byte"] : d["end_byte"]][:6] for d in got.defs] == [b"func A", b"func B"]
+    assert got.defs[0]["doc"] == "caf� é" and [src[r["start_byte"] : r["end_byte"]] for r in got.refs] == [b"B"]

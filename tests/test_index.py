@@ -1,30 +1,24 @@
 """Resolution, binding, edges; the index cold and incremental; the doctor."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators.doctor import examine
 from codeloom.plans import incremental
-from codeloom.plans.derive import derive, statistics
+from codeloom.plans.derive import derive, release, statistics
 from codeloom.plans.store import Index, IndexProblem, dump
-from codeloom.schemas import FACTS, TABLES, broken_files
+from codeloom.schemas import DERIVED, FACTS, TABLES, broken_files
 from codeloom.sources.facts import extract, fact_tables
 from codeloom.sources.scan import scan_tree
 from codeloom.streaming.updates import apply_changes
 from tests.repo import FILES, write
 
 
-#: Each of these derives several times, which takes minutes; CODELOOM_SLOW=1 runs them.
-slow = pytest.mark.skipif(os.environ.get("CODELOOM_SLOW") != "1", reason="takes minutes; set CODELOOM_SLOW=1")
-
-
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     root = write(tmp_path_factory.mktemp("repo"))
     index = Index(spark, str(tmp_path_factory.mktemp("index") / "i"))
-    incremental.build(index, scan_tree(spark, str(root)), 5000)
+    incremental.build(index, scan_tree(spark, str(root)))
     return index
 
 
@@ -96,15 +90,14 @@ def test_statistics(built):
     assert s["imports"]["unresolved"] == 3 and 0 < s["ref_rate"] < 1
 
 
-@slow
 def test_partitions_do_not_matter(spark, tmp_path):
     scan = scan_tree(spark, str(write(tmp_path, SMALL))).cache()
     dumps = []
     for n in (1, 5):
         rows = scan.repartition(n, F.rand(n))
-        parsed = extract(rows, 5000).cache()
+        parsed = extract(rows).cache()
         facts = fact_tables(rows, parsed)
-        dumps.append({k: sorted(map(str, v.collect())) for k, v in (facts | derive(facts)).items() if k != "_held"})
+        dumps.append({k: sorted(map(str, v.collect())) for k, v in (facts | derive(facts)).items() if k != "_stage"})
     assert dumps[0] == dumps[1]
 
 
@@ -114,10 +107,9 @@ def test_doctor_is_content(built):
     assert rows["FILES_CONSISTENCY"]["n"] == 0 and rows["SNAPSHOT_ID"]["severity"] == "ok"
 
 
-@slow
 def test_doctor_finds_faults(spark, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
-    incremental.build(index, scan_tree(spark, str(write(tmp_path / "r", SMALL))), 5000)
+    incremental.build(index, scan_tree(spark, str(write(tmp_path / "r", SMALL))))
     bad = spark.createDataFrame([("gone.go", "gone.go", "ref_def", 1.0)], TABLES["edges"])
     index.append("derived", {"edges": bad}, spark.createDataFrame([], "path string"), update_in_progress=True, snapshot_id="x")
     index.append("derived", {"bindings": index.read("bindings").limit(0)}, None)
@@ -135,38 +127,78 @@ def test_checks_count_null_as_a_fault(spark):
     assert sorted(r["path"] for r in broken_files(files).collect()) == ["c", "d", "e"]
 
 
-#: What each step changes; null deletes.
+#: What each step changes; null deletes. Bodies, names, new and lost files, packages, manifests, nested modules, vendored code.
 EDITS = [
     {"auth/auth.go": FILES["auth/auth.go"].replace("func Login", "func Signin"), "auth/more.go": "package auth\n\nfunc Extra() { Signin(\"z\") }\n"},
+    {"util.go": "package main\n\n// Another body.\nfunc helper() int { return 7 }\n"},
     {"dirhelper/h.go": "package renamed\n\nfunc Help() {}\n", "auth/more.go": None},
+    {"auth/auth.go": FILES["auth/auth.go"], "auth/auth_test.go": None},
     {"go.mod": "module example.com/other\n"},
+    {"go.mod": FILES["go.mod"], "auth/go.mod": "module example.com/auth\n"},
+    {"vendor/example.org/dep/dep.go": FILES["vendor/example.org/dep/dep.go"], "auth/go.mod": None},
+    {"broken.go": "package main\n\nfunc Fine() { helper() }\n\nfunc Broken( {\n", "notes.md": "notes\n"},
+    {"util.go": FILES["util.go"], "dirhelper/h.go": FILES["dirhelper/h.go"], "auth/auth_test.go": FILES["auth/auth_test.go"], "broken.go": None, "notes.md": None, "vendor/example.org/dep/dep.go": None},
 ]
 SMALL = {p: x for p, x in FILES.items() if p.split("/")[0] in ("go.mod", "main.go", "util.go", "auth", "dirhelper")}
 
 
-@slow
 def test_incremental_equals_cold(spark, tmp_path):
+    """After each step the derived tables are those of all facts; in the end, when all edits are undone, the index is that of a cold build."""
     files = dict(SMALL)
-    index = Index(spark, str(tmp_path / "live"))
-    incremental.build(index, scan_tree(spark, str(write(tmp_path / "r0", files))), 5000)
+    index, first = Index(spark, str(tmp_path / "live")), Index(spark, str(tmp_path / "cold"))
+    incremental.build(index, scan_tree(spark, str(write(tmp_path / "r0", files))))
     for k, edit in enumerate(EDITS, 1):
         files = {p: x for p, x in (files | edit).items() if x is not None}
         root = write(tmp_path / f"r{k}", files)
-        run = incremental.update(index, scan_tree(spark, str(root)), 5000)
-        assert run.added + run.modified + run.deleted == len(edit)
-        if k in (1, 3):
-            cold = Index(spark, str(tmp_path / f"cold{k}"))
-            incremental.build(cold, scan_tree(spark, str(root)), 5000)
-            strip = lambda rows: [r.split('"mtime"')[0] if '"table":"files"' in r else r for r in rows]
-            assert strip(dump(index)) == strip(dump(cold)), k
-            assert index.manifest["snapshot_id"] == cold.manifest["snapshot_id"]
-    assert incremental.update(index, scan_tree(spark, str(root)), 5000).noop
-
-
-@slow
+        run = incremental.update(index, scan_tree(spark, str(root)))
+        assert run.added + run.modified + run.deleted == len(edit), k
+        assert run.rebuilt_all == (k in (3, 5, 6, 7, 9)), k
+        if k in (1, 4):
+            whole = derive(index.tables(FACTS))
+            for t in DERIVED:
+                assert sorted(map(str, index.read(t).collect())) == sorted(map(str, whole[t].collect())), (k, t)
+            release(whole)
+    incremental.build(first, scan_tree(spark, str(root)))
+    strip = lambda rows: [r.split('"mtime"')[0] if '"table":"files"' in r else r for r in rows]
+    assert strip(dump(index)) == strip(dump(first)) and index.manifest["snapshot_id"] == first.manifest["snapshot_id"]
+    assert incremental.update(index, scan_tree(spark, str(root))).noop
+
+
+@pytest.mark.parametrize("at", ["_publish", "create", "conflict"])
+def test_a_crash_while_saving_leaves_the_old_manifest(spark, tmp_path, monkeypatch, at):
+    """Between any two operations on files; and the second of two writers fails."""
+    index = Index(spark, str(tmp_path / "i"))
+    index.save(snapshot_id="old")
+    if at == "conflict":
+        other = Index(spark, index.path)
+        other.save(snapshot_id="other")
+        with pytest.raises(IndexProblem):
+            index.save(snapshot_id="new")
+        with pytest.raises(IndexProblem):
+            index.step("empty", "building")
+        assert Index(spark, index.path).manifest["snapshot_id"] == "other"
+        return
+
+    def crash(*_, **__):
+        raise OSError("cut off")
+
+    if at == "_publish":
+        monkeypatch.setattr(Index, "_publish", crash)
+    else:
+        monkeypatch.setattr("codeloom.plans.store.json.dumps", crash)
+    with pytest.raises(OSError):
+        index.save(snapshot_id="new")
+    monkeypatch.undo()
+    again = Index(spark, index.path)
+    assert again.manifest["snapshot_id"] == "old"
+    again.save(snapshot_id="new")
+    again.sweep()
+    assert Index(spark, index.path).manifest["snapshot_id"] == "new" and len(again._numbers()) == 1
+
+
 def test_torn_update_heals(spark, tmp_path, monkeypatch):
     index = Index(spark, str(tmp_path / "i"))
-    incremental.build(index, scan_tree(spark, str(write(tmp_path / "a", SMALL))), 5000)
+    incremental.build(index, scan_tree(spark, str(write(tmp_path / "a", SMALL))))
     root = write(tmp_path / "b", SMALL | {"util.go": "package main\n\nfunc helper() {}\n"})
 
     def crash(*_):
@@ -174,36 +206,34 @@ def test_torn_update_heals(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(incremental, "affected_files", crash)
     with pytest.raises(OSError):
-        incremental.update(index, scan_tree(spark, str(root)), 5000)
+        incremental.update(index, scan_tree(spark, str(root)))
     monkeypatch.undo()
     again = Index(spark, str(tmp_path / "i"))
     assert again.manifest["update_in_progress"]
-    assert incremental.update(again, scan_tree(spark, str(root)), 5000).rebuilt_all
+    assert incremental.update(again, scan_tree(spark, str(root))).rebuilt_all
     again.require_ready()
 
 
-@slow
 def test_resume(spark, tmp_path):
     scan = scan_tree(spark, str(write(tmp_path / "r", SMALL)))
     index = Index(spark, str(tmp_path / "i"))
     index.step("empty", "building")
-    facts = fact_tables(scan, extract(scan, 5000))
+    facts = fact_tables(scan, extract(scan))
     index.append("facts", {t: facts[t].filter("path < 'm'") for t in FACTS if t != "packages"}, None)
-    incremental.bring_up(Index(spark, str(tmp_path / "i")), scan, 5000)
+    incremental.bring_up(Index(spark, str(tmp_path / "i")), scan)
     cold = Index(spark, str(tmp_path / "c"))
-    incremental.build(cold, scan, 5000)
+    incremental.build(cold, scan)
     assert dump(Index(spark, str(tmp_path / "i"))) == dump(cold)
 
 
-@slow
 def test_stream_batch_is_an_update(spark, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
     scan = scan_tree(spark, str(write(tmp_path / "r", SMALL))).cache()
-    apply_changes(index, scan, 5000)
+    apply_changes(index, scan)
     gone = scan.filter("path = 'util.go'").withColumn("size", F.lit(-1).cast("long"))
-    run = apply_changes(index, gone, 5000)
+    run = apply_changes(index, gone)
     assert (run.deleted, run.modified, run.added) == (1, 0, 0)
-    assert apply_changes(index, gone, 5000).noop
+    assert apply_changes(index, gone).noop
 
 
 def test_life_cycle_is_guarded(spark, tmp_path):
