@@ -101,6 +101,10 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(names, name), F.try_element_at(exts, extension_of(path)), F.lit("unknown"))
 
 
+#: Bytes above which files are not read, and not parsed.
+LARGEST, PARSED = 50 * 1024 * 1024, 1024 * 1024
+
+
 def size_band(size: Column) -> Column:
     """too_large above 50 MiB (not read), parse_skipped above 1 MiB (hashed), else null."""
-    return F.when(size > 50 * 1024 * 1024, "too_large").when(size > 1024 * 1024, "parse_skipped")
+    return F.when(size > LARGEST, "too_large").when(size > PARSED, "parse_skipped")

@@ -19,7 +19,7 @@ def matches(rows: DataFrame, keys: list[str], terms: DataFrame, *cols: Column) -
     dropped before anything is exploded or shuffled.
     """
     wanted = terms.select(fold(F.col("term")).alias("token")).agg(F.array_sort(F.collect_set("token")).alias("wanted"))
-    tokens = rows.select(*keys, F.concat(*(fts_tokens(F.coalesce(c, F.lit(""))) for c in cols)).alias("tokens")).crossJoin(F.broadcast(wanted))  # one row
+    tokens = rows.select(*keys, F.concat(*(fts_tokens(F.coalesce(c, F.lit(""))) for c in cols)).alias("tokens"), wanted.scalar().alias("wanted"))
     found = tokens.select(*keys, F.size("tokens").alias("len"), "wanted", F.array_sort(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("found"))
     count = lambda w: F.struct(w.alias("token"), F.size(F.filter("found", lambda t: t == w)).cast("long").alias("f"))
     return found.select(*keys, "len", F.transform(F.array_distinct("found"), count).alias("hits"))
@@ -32,12 +32,12 @@ def bm25(rows: DataFrame, keys: list[str], terms: DataFrame, *cols: Column) -> D
     rows without a term are dropped where they are read.
     """
     found = matches(rows, keys, terms, *cols)
-    whole = found.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean"))
+    whole = found.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean")).alias("whole"))
     each = found.filter(F.size("hits") > 0).select(*keys, "len", F.explode("hits").alias("h")).select(*keys, "len", "h.token", "h.f")
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    named = terms.select("task_id", "term", fold(F.col("term")).alias("token")).join(df, "token").crossJoin(F.broadcast(whole))  # one row
+    named = terms.select("task_id", "term", fold(F.col("term")).alias("token")).join(df, "token").withColumn("whole", whole.scalar())
     hit = each.join(named, "token")
-    return hit.select("task_id", "term", *keys, bm25_term(F.col("n"), F.col("df"), F.col("f"), F.col("len"), F.coalesce("mean", F.lit(1.0))).alias("b"))
+    return hit.select("task_id", "term", *keys, bm25_term(F.col("whole.n"), F.col("df"), F.col("f"), F.col("len"), F.coalesce("whole.mean", F.lit(1.0))).alias("b"))
 
 
 def exact_names(symbols: DataFrame, terms: DataFrame) -> DataFrame:

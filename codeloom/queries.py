@@ -487,21 +487,28 @@ def task_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return task.terms_of(task.parse_tasks(turns, "id", "text")).select("task_id", "term", F.array_join("originals", "|").alias("originals"))
 
 
-@query()
+_FILES_MADE = "f AS (SELECT count(*) // 10 * 10 AS files FROM documents)"
+
+
+@query(f"""WITH {_FILES_MADE} SELECT 'import_out' AS kind, (files - 10) * 10 AS n, round((files - 10) * 6.0::DOUBLE, 6) AS weight FROM f WHERE files > 10
+UNION ALL SELECT 'ref_def', files - 10, round((files - 10) * 0.5::DOUBLE / 3, 6) FROM f WHERE files > 10""")
 def go_synth_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A synthetic repository of as many files as there are documents (in tens), parsed, resolved and linked; counts of edges by kind."""
     from codeloom.plans.derive import derive
+    from codeloom.plans.stage import Stage
     from codeloom.sources.facts import extract, fact_tables
     from codeloom.sources.synth import synthetic_scan
 
     files = t(spark, sf_dir, "documents").count() // 10 * 10
-    scan = synthetic_scan(spark, files).persist()
-    parsed = extract(scan).persist()
+    stage = Stage(spark)
+    scan = synthetic_scan(spark, files)
+    parsed = stage.keep(extract(scan), "parsed")
     edges = derive(fact_tables(scan, parsed))["edges"]
     return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query()
+@query(f"""WITH {_FILES_MADE} SELECT 'func' AS kind, files * 8 + greatest(files - 10, 0) AS n, files * 8 + greatest(files - 10, 0) AS exported FROM f
+UNION ALL SELECT unnest(['method', 'struct']), files, files FROM f""")
 def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of the synthetic repository by kind."""
     from codeloom.sources.facts import extract

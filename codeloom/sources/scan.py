@@ -8,11 +8,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import language, size_band
+from codeloom.functions.paths import LARGEST, dir_of, language, size_band
 from codeloom.schemas import SCAN
 
 MAX_FILES, MAX_BYTES = 500_000, 2 << 30
@@ -175,19 +176,54 @@ def scan_tree(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_by
     return rows.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, SCAN)
 
 
-def scan_store(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def _stored(spark: SparkSession, path: str) -> str | None:
+    """The text of a file of any store, null where it is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode(errors="replace")
+    finally:
+        stream.close()
+
+
+def scan_store(spark: SparkSession, path: str, glob: str = "*", rules: list[Rule] | None = None, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The scan table of any store that Spark reads, by its binary source; paths are seen from ``path``.
 
-    What is too large is listed without being read.
+    What is too large is listed without being read. That reader does not show files whose names begin with a dot or an underscore; ignore files
+    are looked for in each folder that holds a file, and count after ``rules``, the deeper the later. Pruned folders are left out.
+    Only folders, ignore files and counts come to the driver. More files or bytes than the caps are an error.
     """
+    root = path.split("://")[-1].rstrip("/").removeprefix("file:") + "/"
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    files = reader.load(path)
-    root = F.lit(path.split("://")[-1].rstrip("/") + "/")
-    rel = F.substring_index(F.col("path"), root, -1)
-    band = size_band(F.col("length"))
-    head = files.select(rel.alias("path"), "length", F.col("modificationTime").cast("long").alias("mtime"), "content", band.alias("skip"))
-    rows = head.filter("skip IS NULL OR skip <> 'too_large'").withColumn("hash", F.sha2("content", 256)).withColumn("content", F.when(F.col("skip").isNull(), F.col("content")))
-    large = head.filter("skip = 'too_large'").withColumn("hash", F.lit(None).cast("string")).withColumn("content", F.lit(None).cast("binary"))
-    both = rows.unionByName(large)
-    return both.select("path", language(F.col("path")).alias("lang"), F.col("length").alias("size"), "mtime", "hash", "skip", "content")
-
+    listed = reader.load(path).withColumn("path", F.substring_index("path", root, -1))
+    over = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    folders = {r["d"] for r in listed.select(dir_of(F.col("path")).alias("d")).distinct().limit(max_files + 1).collect()}
+    folders |= {"/".join(d.split("/")[:k]) for d in folders for k in range(len(d.split("/")))}
+    found = list(rules or [])
+    for folder in sorted(folders, key=lambda d: (d.count("/") + bool(d), d)):
+        for name in IGNORE_FILES:
+            text = _stored(spark, f"{path.rstrip('/')}/{folder + '/' if folder else ''}{name}")
+            found += rules_of(text, folder) if text else []
+
+    @F.pandas_udf("boolean")
+    def kept(paths: pd.Series) -> pd.Series:
+        def one(p: str) -> bool:
+            parts = p.split("/")
+            above = ("/".join(parts[:k]) for k in range(1, len(parts)))
+            return not (PRUNED & set(parts[:-1]) or any(ignored(x, True, found) for x in above) or ignored(p, False, found))
+
+        return paths.map(one)
+
+    files = listed.filter(kept("path")) if found or folders & PRUNED else listed
+    n, total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first() if over[0] > max_files or over[1] > max_bytes else over
+    if n > max_files or total > max_bytes:
+        raise CapExceeded(f"{n} files, {total} bytes")
+    small = files.filter(F.col("length") <= LARGEST).withColumn("skip", size_band(F.col("length"))).withColumn("hash", F.sha2("content", 256))
+    large = files.filter(F.col("length") > LARGEST).select("path", "modificationTime", "length").withColumns({"skip": F.lit("too_large"), "hash": F.lit(None).cast("string"), "content": F.lit(None).cast("binary")})
+    both = small.unionByName(large, allowMissingColumns=True)
+    content = F.when(F.col("skip").isNull(), F.col("content"))
+    rows = both.select("path", language(F.col("path")).alias("lang"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp").cast("long").alias("mtime"), "hash", "skip", content.alias("content"))
+    return rows.select(*(F.col(f.name).cast(f.dataType) for f in SCAN.fields))

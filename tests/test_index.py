@@ -9,7 +9,7 @@ from codeloom.plans.derive import derive, release, statistics
 from codeloom.plans.store import Index, IndexProblem, dump
 from codeloom.schemas import DERIVED, FACTS, TABLES, broken_files
 from codeloom.sources.facts import extract, fact_tables
-from codeloom.sources.scan import scan_tree
+from codeloom.sources.scan import CapExceeded, scan_store, scan_tree
 from codeloom.streaming.updates import apply_changes
 from tests.repo import FILES, write
 
@@ -236,6 +236,18 @@ def test_stream_batch_is_an_update(spark, tmp_path):
     assert apply_changes(index, gone).noop
 
 
+def test_a_store_is_scanned_like_a_tree(spark, tmp_path):
+    """By Spark's reader alone: ignore files, pruned folders, bands, hashes and caps."""
+    files = SMALL | {".gitignore": "*.log\n/build/\n", "auth/.gitignore": "secret.txt\n!keep.log\n", "a.log": "x", "auth/keep.log": "y", "auth/secret.txt": "z", "build/out.go": "package out\n", ".git/config": "c", "deep/build/in.go": "package in\n", "big.txt": "x" * (1 << 20) + "y"}
+    root = str(write(tmp_path, files))
+    seen = scan_tree(spark, root).filter("NOT path RLIKE '(^|/)[.]'")  # Spark's readers do not show hidden files
+    tree, store = (sorted(map(str, df.drop("mtime").collect())) for df in (seen, scan_store(spark, root)))
+    assert tree == store and len(tree) == len(SMALL) + 3
+    with pytest.raises(CapExceeded):
+        scan_store(spark, root, max_files=3)
+    incremental.build(Index(spark, str(tmp_path / "i")), scan_store(spark, root, "*.go"))
+
+
 def test_life_cycle_is_guarded(spark, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
     with pytest.raises(IndexProblem):
