@@ -50,17 +50,23 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, then the columns named in ``keep`` as kept_0, ...): one row per input row, fp the signed form of the 64 bits."""
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's id, and a hash of its text by which rows that share an id are told apart."""
+    text = F.col(f"`{text_col}`").cast("binary")
+    return F.col(f"`{id_col}`").cast("long"), F.when(text.isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(text))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp, and with ``hashed`` the text's hash h): one row per input row, fp the signed form of the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    kept = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *kept)
-    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} {t}" for c, t in rows.dtypes[2:]))
+    number, h = _identity(docs, id_col, text_col)
+    rows = docs.select(number.alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *([h.alias("h")] if hashed else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", h long" * hashed)
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -142,14 +148,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A component whose ids are all null keeps a row too; of repeated rows of the chosen id one stays.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = materialize(fingerprints(docs, id_col, text_col, True), "fingerprints")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
     chosen = _rooted(rows, radius, dense, False).groupBy("root").agg(first).select(F.col("first.least").alias("chosen_id"), F.col("first.fp").alias("chosen_fp"))
-    chosen = materialize(chosen, "chosen")
+    met = rows.join(chosen.hint("merge"), rows["doc_id"].eqNullSafe(chosen["chosen_id"]) & (rows["fp"] == chosen["chosen_fp"]), "left_semi")
+    # Texts are read again by what tells their rows apart, and not fingerprinted again.
+    marks = materialize(met.groupBy("doc_id", "fp").agg(F.min("h").alias("chosen_h"), F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "chosen_id"), "chosen")
     names = docs.columns
-    mine = lambda df: df.join(chosen.hint("merge"), df["doc_id"].eqNullSafe(chosen["chosen_id"]) & (df["fp"] == chosen["chosen_fp"]), "left_semi")
-    kept = mine(fingerprints(docs, id_col, text_col, tuple(names)))
-    if not mine(rows).groupBy("doc_id", "fp").count().filter("count > 1").isEmpty():
-        one = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64(*(c for c in kept.columns if c.startswith("kept_"))))
+    number, h = _identity(docs, id_col, text_col)
+    whole = docs.select(number.alias("own_id"), h.alias("own_h"), *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(names)))
+    kept = whole.join(marks.hint("merge"), whole["own_id"].eqNullSafe(marks["chosen_id"]) & (whole["own_h"] == marks["chosen_h"]), "left_semi")
+    if not marks.filter("n > 1").isEmpty():
+        one = Window.partitionBy("own_id", "own_h").orderBy(F.xxhash64(*(c for c in kept.columns if c.startswith("kept_"))))
         kept = kept.withColumn("nth", F.row_number().over(one)).filter("nth = 1")
     return kept.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)))
