@@ -386,9 +386,10 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.upsert(orders, new, ["o_orderkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 29 = 0)")
 def gc_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order of every 29th number, as most have some order."""
+    orders = t(spark, sf_dir, "orders").filter("o_orderkey % 29 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return relational.orphans(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
 
 
