@@ -39,8 +39,8 @@ SHARE = 32
 #: Symbols between two updates of a text's weights; words, and symbols, in one step of work; words counted before they are passed on.
 SEGMENT, WORK, STEP, FLUSH = 48, 1 << 15, 1 << 17, 500_000
 RATE, OFTEN, GATES, LEVELS = 1.0, 4, 4, 65
-#: Numbers in a block of counts, decisions counted before a pass over the table, blocks that are added up by one group.
-BLOCK, COUNTED, FAN_IN = 1 << 14, 1 << 21, 64
+#: Numbers in a block of counts, blocks that are added up by one group.
+BLOCK, FAN_IN = 1 << 14, 64
 FOLDS, HELD = 7, 2
 
 
@@ -331,32 +331,17 @@ def _tables(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, found = shared.value, [None, None]
-        held: list[tuple[list, list]] = [([], []), ([], [])]
-        size = 0
-
-        def add_up() -> None:
-            # A pass over the whole table costs as much as a few million decisions.
-            for fits in range(2):
-                for t in range(2):
-                    if held[fits][t]:
-                        if found[fits] is None:
-                            found[fits] = np.zeros((2, size_), np.int32)  # of one task: fewer than 2^31
-                        found[fits][t] += np.bincount(np.concatenate(held[fits][t]), minlength=size_)
-                        held[fits][t].clear()
+        model, found, one_more = shared.value, [None, None], np.int32(1)
 
         for batch in batches:
             fit = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for fits in range(2):
                 for _, words, ids, owner in _grouped(model, (x.as_py() for x in batch.column(0).filter(pa.array(fit == bool(fits))))):
                     for some, _, one, two, _ in model.steps(*model.stream(words, ids, owner)):
+                        if found[fits] is None:
+                            found[fits] = np.zeros((2, size_), np.int32)  # of one task: fewer than 2^31
                         for t, slot in enumerate(model.slots(some, one, two)):
-                            held[fits][t].append(slot)
-                        size += len(held[fits][0][-1])
-                        if size >= COUNTED:
-                            add_up()
-                            size = 0
-        add_up()
+                            np.add.at(found[fits][t], slot, one_more)
         for fits in range(2):
             if found[fits] is not None:
                 flat = found[fits].reshape(-1, block)

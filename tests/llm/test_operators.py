@@ -533,7 +533,7 @@ def small_model(docs, tokens=4):
 
 def test_tables_hold_the_counts_of_all_texts(docs, monkeypatch):
     """Added up by tasks, blocks and rounds they are what a plain count over all decisions says, with and without the share."""
-    for name, value in (("BLOCK", 64), ("FAN_IN", 2), ("COUNTED", 3000), ("STEP", 500), ("WORK", 100)):
+    for name, value in (("BLOCK", 64), ("FAN_IN", 2), ("STEP", 500), ("WORK", 100)):
         monkeypatch.setattr(context_mixing, name, value)
     renamed, model = small_model(docs)
     rows = renamed.select("text", (F.coalesce("doc_id", F.lit(1)) % 3 == 0).alias("fits")).repartition(7)
