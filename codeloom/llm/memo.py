@@ -65,14 +65,25 @@ class WordMemo:
         yield from self._encode(group)
 
     def _encode(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
+        ids, done = self._ids(self._places([w for x in group for w in x]))
+        k = 0
+        for x in group:
+            yield ids[done[k] : done[k + len(x)]]
+            k += len(x)
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """The memo's number of each word, after learning the new ones; holds until the next call."""
         if len(self.known) > _MEMO:
             self._shrink()
-        words = [w for x in group for w in x]
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if len(new := np.flatnonzero(at < 0)):
             fresh = [words[i] for i in new]
             self._learn(list(dict.fromkeys(fresh)))
             at[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        return at
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of these numbers, in a row, and where each one's begin, with the end of all; counts the uses."""
         seen = np.bincount(at, minlength=len(self.known))
         seen[: len(self.uses)] += self.uses
         self.uses = seen
@@ -81,8 +92,4 @@ class WordMemo:
         n = ends[at + 1] - first
         done = np.concatenate([[0], np.cumsum(n)])
         ids = np.frombuffer(self.ids, np.uint32)[np.repeat(first - done[:-1], n) + np.arange(done[-1])] if done[-1] else np.zeros(0, np.uint32)
-        del ends
-        k = 0
-        for x in group:
-            yield ids[done[k] : done[k + len(x)]]
-            k += len(x)
+        return ids, done

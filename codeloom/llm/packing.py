@@ -11,9 +11,11 @@ pieces then find their place by their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +28,85 @@ from codeloom.llm.memo import WordMemo
 CAPACITY, SEPARATOR = 2048, 0
 
 
-class ChunkCoder(WordMemo):
-    """Token ids of texts, by chunks between ASCII white space.
+#: The normalizer and splitter under which segments finer than chunks are exact.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+_OTHER, _LETTER, _DIGIT, _SYMBOL, _APOSTROPHE, _WHITE = range(6)
+_GROUP_BYTES = 1 << 23
+
+
+def _tables() -> tuple[bytes, bytes, np.ndarray]:
+    """The kind of each byte, the same for chunks alone, and whether a segment ends between two kinds (8 * first + second)."""
+    kinds, chunks = bytearray(256), bytearray(256)
+    for k in range(33, 127):
+        kinds[k] = _DIGIT if chr(k).isdigit() else _LETTER if chr(k).isalpha() else _APOSTROPHE if chr(k) == "'" else _SYMBOL
+    for k in b" \t\n\v\f\r":
+        kinds[k] = chunks[k] = _WHITE
+    cut = np.zeros(64, bool)
+    for a in range(6):
+        for b in range(5):  # white space stays with what it follows
+            cut[8 * a + b] = a in (_WHITE, _DIGIT) or b == _DIGIT or (a, b) in ((_LETTER, _SYMBOL), (_LETTER, _APOSTROPHE), (_SYMBOL, _LETTER))
+    return bytes(kinds), bytes(chunks), cut
 
-    The tokenizer's normalizer and splitter keep nothing across white space, so the
-    ids of a text are those of its chunks in a row.
+
+_KINDS, _CHUNKS, _CUT = _tables()
+
+
+class ChunkCoder(WordMemo):
+    """Token ids of texts, by segments that the tokenizer never joins.
+
+    The tokenizer's normalizer and splitter keep nothing across ASCII white space, so the
+    ids of a text are those of its chunks in a row. Under the normalizer and splitter above, chunks are cut
+    further where every match of the splitter ends, whatever surrounds it, and nothing composes: beside an ASCII digit, after an ASCII letter before
+    a symbol, and after a symbol before a letter, but not after an apostrophe, which begins contractions. A-Z are
+    lower-cased first, but not where combining marks (U+0300 to U+036F) could compose with one case only. Texts
+    that hold a special string, in any case, are cut at white space alone and keep their case.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.fine = (file["normalizer"], file["pre_tokenizer"]) == (_NORMALIZER, _SPLITTER)
+        self.special = [x["content"].encode().lower() for x in file["added_tokens"]]
         one = ((c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in "þðŋʃʒəßøœæq")
         self.mark, (self.mark_id, *_) = next(x for x in one if len(x[1]) == 1)
         super().__init__()
 
-    def words(self, text: bytes) -> list[bytes]:
-        return text.split()
+    def _shown(self, text: bytes) -> tuple[bytes, bytes]:
+        """The text as it is encoded, and the kinds of its bytes."""
+        low = text.lower()
+        if not self.fine or any(x in low for x in self.special):
+            return text, text.translate(_CHUNKS)
+        return text if b"\xcc" in text or b"\xcd" in text else low, text.translate(_KINDS)
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= _GROUP_BYTES:
+                yield from self._segments(group)
+                group, size = [], 0
+        if group:
+            yield from self._segments(group)
+
+    def _segments(self, group: list[bytes]) -> Iterator[np.ndarray]:
+        """Equal segments are found natively, so that each is looked up once."""
+        shown = [self._shown(x) for x in group]
+        text = b"\n".join(x for x, _ in shown)
+        kinds = np.frombuffer(bytes([_WHITE]).join(k for _, k in shown), np.uint8)
+        starts = np.concatenate([[0], np.flatnonzero(_CUT[kinds[:-1] << 3 | kinds[1:]]) + 1, [len(text)]])
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(text)]).dictionary_encode()
+        ids, done = self._ids(self._places([x.strip() for x in parts.dictionary.to_numpy(zero_copy_only=False).tolist()])[parts.indices.to_numpy()])
+        first = np.searchsorted(starts[:-1], np.cumsum([0, *(len(x) + 1 for x in group)]))
+        for a, b in pairwise(done[first].tolist()):
+            yield ids[a:b]
 
     def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Joined by a word of one token that none has, so that one call encodes many."""

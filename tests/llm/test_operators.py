@@ -1,5 +1,6 @@
 """Every operator against a slow and plain version, on small tables with nulls, ties, repeats, clashing names and none at all."""
 
+import json
 import math
 import re
 import zlib
@@ -387,6 +388,35 @@ def test_packing(docs, rows):
     assert len(full) <= math.ceil(sum(w[3] for w in want) / 2048) + 1
 
 
+def test_segments_have_the_ids_of_whole_texts():
+    tokenizer = Tokenizer.from_file(WORDS)
+    rng = np.random.default_rng(8)
+    parts = [*"aZzÉéßþK5٣½.<=>'’*|_~", "'s", "'LL", "don't", "H", "T", "\u0331", "\u0308", "\u0344", "\u0338", "\u200d", "\u00a0", "\u0085", "\u2028", "\x00", "\x1c", "\x7f", "İ", "Σ", "日", "가", "ᆨ", "😀", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", " ", "\t", "\n", "\v", "\f", "\r"]
+    texts = ["", " ", "", "<|startoftext|>", "H\u0331 T\u0344", *("".join(rng.choice(parts, int(rng.integers(1, 25)))) for _ in range(4000))]
+    got = packing.ChunkCoder(WORDS).encode([x.encode() for x in texts])
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_forms_of_a_word_are_encoded_once():
+    """The costly step: words differing in case, digits or symbols around them share one segment."""
+    code = packing.ChunkCoder(WORDS)
+    forms = [f"{a}{w}{b}".encode() for w in ("quality", "Quality", "QUALITY") for a in ("", "(", "7") for b in ("", ",", "***", "42", "'s")]
+    assert sum(map(len, code.encode([b" ".join(forms)]))) > len(forms)
+    assert len(code.known) <= 8
+
+
+def test_unknown_splitters_are_cut_at_white_space_alone(tmp_path):
+    with open(WORDS, encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"]["normalizers"].pop()  # keeps case
+    (tmp_path / "cased.json").write_text(json.dumps(file), encoding="utf-8")
+    tokenizer = Tokenizer.from_file(str(tmp_path / "cased.json"))
+    texts = [x or "" for x in TEXTS]
+    got = packing.ChunkCoder(str(tmp_path / "cased.json")).encode([x.encode() for x in texts])
+    assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("capacity", [8, 64, 300])
 def test_plan_places_every_piece_once(capacity):
     rng = np.random.default_rng(capacity)
