@@ -16,6 +16,8 @@ STOPWORDS = frozenset(
 )
 TEST_WORDS, CONFIG_WORDS = ("flaky", "test", "tests"), ("config", "deploy", "migration", "migrations")
 MIN_TERM = 3
+TOKEN = r"[\p{L}\p{N}]++"
+_PLAIN, _MARKED = "aaaaaaceeeeiiiinooooouuuuyyaaaeeeiiooouuucnsz", "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąēėęīįōőøūůűčńšž"
 
 
 def normalize_ws(s: Column) -> Column:
@@ -71,8 +73,7 @@ def verbatim(s: Column, mark: str) -> Column:
 
 def fold(s: Column) -> Column:
     """Lower case without the common Latin diacritics."""
-    plain, marked = "aaaaaaceeeeiiiinooooouuuuyyaaaeeeiiooouuucnsz", "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąēėęīįōőøūůűčńšž"
-    return F.translate(F.lower(s), marked, plain)
+    return F.translate(F.lower(s), _MARKED, _PLAIN)
 
 
 def fts_tokens(s: Column) -> Column:
@@ -80,6 +81,19 @@ def fts_tokens(s: Column) -> Column:
     return F.filter(F.split(fold(s), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def token_count(s: Column) -> Column:
+    """How many tokens :func:`fts_tokens` gives: folding turns letters into letters, so it can be left out."""
+    return F.regexp_count(F.lower(s), F.lit(TOKEN))
+
+
+def folded_regex(tokens: Column) -> Column:
+    """A regular expression that finds in a lower-case text whether one of the folded tokens stands there as a whole, with or without diacritics."""
+    out = F.array_join(tokens, "|")
+    for p in sorted(set(_PLAIN)):
+        out = F.replace(out, F.lit(p), F.lit("[" + p + "".join(m for m, q in zip(_MARKED, _PLAIN, strict=True) if q == p) + "]"))
+    return F.when(F.size(tokens) == 0, r"(?!)").otherwise(F.concat(F.lit(r"(?:^|[^\p{L}\p{N}])(?:"), out, F.lit(r")(?:$|[^\p{L}\p{N}])")))
+
+
 def saturate(x: Column, kappa: float = 2.0) -> Column:
     return x / (x + kappa)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import stem_of
-from codeloom.functions.text import bm25_term, density, fold, fts_tokens, saturate
+from codeloom.functions.text import TOKEN, bm25_term, density, fold, folded_regex, fts_tokens, saturate, token_count
+from codeloom.plans.stage import Stage
 
 WEIGHTS = {"S1": 3.0, "S2": 2.0, "S3": 1.0, "S4": 1.0, "S5": 0.5, "S6": 0.5, "S7": 0.0, "S8": 1.0, "S9": 10.0}
 KAPPA, FLOOR, CANDIDATES = 2.0, 0.05, 2000
@@ -15,28 +18,36 @@ KAPPA, FLOOR, CANDIDATES = 2.0, 0.05, 2000
 def matches(rows: DataFrame, keys: list[str], terms: DataFrame, *cols: Column) -> DataFrame:
     """(keys, hits, len): how often each searched token stands in a row over all its columns; counted inside the row.
 
-    ``terms``, of a few tasks, is gathered into one array that rides along with each row, so that tokens of no task are
-    dropped before anything is exploded or shuffled.
+    ``terms``, of a few tasks, is gathered into one array and one regular expression that ride along with each row. Tokens of
+    all rows are only counted; where the expression finds nothing, none is made, folded or compared.
     """
-    wanted = terms.select(fold(F.col("term")).alias("token")).agg(F.array_sort(F.collect_set("token")).alias("wanted"))
-    tokens = rows.select(*keys, F.concat(*(fts_tokens(F.coalesce(c, F.lit(""))) for c in cols)).alias("tokens"), wanted.scalar().alias("wanted"))
-    found = tokens.select(*keys, F.size("tokens").alias("len"), "wanted", F.array_sort(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("found"))
+    tokens = terms.select(fold(F.col("term")).alias("token")).filter(F.col("token").rlike(f"^{TOKEN}$"))
+    wanted = tokens.agg(F.array_sort(F.collect_set("token")).alias("tokens"), folded_regex(F.collect_set("token")).alias("regex"))
+    whole = wanted.select(F.struct("tokens", "regex")).scalar()
+    texts = [F.coalesce(c, F.lit("")) for c in cols]
+    some = functools.reduce(lambda a, b: a | b, (F.regexp_instr(F.lower(c), F.col("wanted.regex")) > 0 for c in texts))
+    rows = rows.withColumn("wanted", whole)
+    found = F.array_sort(F.filter(F.concat(*map(fts_tokens, texts)), lambda t: F.array_contains("wanted.tokens", t)))
+    found = rows.select(*keys, functools.reduce(lambda a, b: a + b, map(token_count, texts)).alias("len"), F.when(some, found).otherwise(F.array().cast("array<string>")).alias("found"))
     count = lambda w: F.struct(w.alias("token"), F.size(F.filter("found", lambda t: t == w)).cast("long").alias("f"))
     return found.select(*keys, "len", F.transform(F.array_distinct("found"), count).alias("hits"))
 
 
-def bm25(rows: DataFrame, keys: list[str], terms: DataFrame, *cols: Column) -> DataFrame:
+def bm25(rows: DataFrame, keys: list[str], terms: DataFrame, *cols: Column, stage: Stage | None = None) -> DataFrame:
     """(task_id, term, keys, b) of rows that hold a term; every row counts in the statistics, with or without tokens.
 
     Only the row count, the mean length and the document frequencies of the terms are aggregated, combined before each shuffle;
-    rows without a term are dropped where they are read.
+    rows without a term are dropped where they are read. With ``stage``, each row's counts are kept there, so that texts are read
+    and split once; without it, once for each of the three.
     """
     found = matches(rows, keys, terms, *cols)
+    if stage is not None:
+        found = stage.keep(found, "matches")
     whole = found.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean")).alias("whole"))
     each = found.filter(F.size("hits") > 0).select(*keys, "len", F.explode("hits").alias("h")).select(*keys, "len", "h.token", "h.f")
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     named = terms.select("task_id", "term", fold(F.col("term")).alias("token")).join(df, "token").withColumn("whole", whole.scalar())
-    hit = each.join(named, "token")
+    hit = each.join(F.broadcast(named), "token")  # a task has few terms
     return hit.select("task_id", "term", *keys, bm25_term(F.col("whole.n"), F.col("df"), F.col("f"), F.col("len"), F.coalesce("whole.mean", F.lit(1.0))).alias("b"))
 
 

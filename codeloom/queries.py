@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import paths, text
 from codeloom.operators import levels, relational, seed, task, walk
+from codeloom.plans.stage import Stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,7 +69,7 @@ def seed_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_bm25_sql('documents', 'doc_id', 'text', _DOC_TERMS)} SELECT doc_id, term, round(b, 6) AS b FROM b")
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    return seed.bm25(docs, ["doc_id"], _terms(spark, _DOC_TERMS), F.col("text")).select("doc_id", "term", F.round("b", 6).alias("b"))
+    return seed.bm25(docs, ["doc_id"], _terms(spark, _DOC_TERMS), F.col("text"), stage=Stage(spark)).select("doc_id", "term", F.round("b", 6).alias("b"))
 
 
 _PART_TERMS = ["part", "1", "brass", "small"]
