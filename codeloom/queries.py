@@ -60,7 +60,7 @@ SELECT doc_id, round(x, 6) AS x, round(x / (x + 2), 6) AS seed FROM s ORDER BY r
 def seed_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a task's terms scored by BM25 over the documents, squashed, added and saturated; the best 50."""
     docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    scored = seed.bm25(docs, ["path"], _terms(spark, _DOC_TERMS), F.col("text"))
+    scored = seed.bm25(docs, ["path"], _terms(spark, _DOC_TERMS), F.col("text"), stage=Stage(spark))
     total = seed.totals(scored.select("task_id", "path", (F.col("b") / (F.col("b") + 3)).alias("score")))
     rows = total.select(F.col("path").alias("doc_id"), F.round("x", 6).alias("x"), F.round("seed", 6).alias("seed"))
     return rows.orderBy(F.desc("x"), "doc_id").limit(50)

@@ -37,7 +37,7 @@ def test_matches_are_those_of_all_tokens_folded(spark):
 
 def test_bm25_reads_and_splits_texts_once(spark, tmp_path):
     docs = documents(spark, tmp_path)
-    for name in ("bm25_documents",):
+    for name in ("bm25_documents", "seed_topk_documents"):
         got = queries.QUERIES[name](spark, docs)
         assert not re.search(r"split\(|regexp|text#", plan(got)), name
     df, terms = spark.read.parquet(f"{docs}/documents.parquet"), queries._terms(spark, ["elan", "42"])
