@@ -16,6 +16,8 @@ STOPWORDS = frozenset(
 )
 TEST_WORDS, CONFIG_WORDS = ("flaky", "test", "tests"), ("config", "deploy", "migration", "migrations")
 MIN_TERM = 3
+#: Every boundary stands before a capital, so all other places fail at their first look.
+CAMEL = r"(?=\p{Lu})(?:(?<=[\p{Ll}\p{N}])|(?<=\p{Lu})(?=\p{Lu}\p{Ll}))"
 TOKEN = r"[\p{L}\p{N}]++"
 _PLAIN, _MARKED = "aaaaaaceeeeiiiinooooouuuuyyaaaeeeiiooouuucnsz", "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąēėęīįōőøūůűčńšž"
 
@@ -26,7 +28,12 @@ def normalize_ws(s: Column) -> Column:
 
 def split_camel(s: Column) -> Column:
     """Parts of an identifier: before a capital after a small letter or digit, and before the last capital of a run."""
-    return F.split(s, r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
+    return F.split(s, CAMEL)
+
+
+def split_camel_lines(s: Column) -> Column:
+    """Parts of all identifiers, one on each line, in one pass: no boundary depends on what stands beyond a line's end."""
+    return F.split(s, rf"{CAMEL}|\n")
 
 
 def trim_edges(s: Column) -> Column:

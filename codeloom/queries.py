@@ -136,9 +136,11 @@ SELECT doc_id, count(*) AS identifiers, sum(len(parts))::BIGINT AS pieces, max(l
 def camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inside each row: its distinct words in a row of lines are split at once."""
     words = F.filter(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+")), lambda x: F.length(x) > 3)
-    ids = t(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 0)
-    lines = F.array_join(F.transform("words", lambda w: F.concat(w, F.lit("Handler2HTTPId"))), "\n")
-    each = ids.select("doc_id", F.size("words").cast("long").alias("identifiers"), F.flatten(F.transform(F.split(lines, "\n"), text.split_camel)).alias("parts"))
+    # A filter by the number of words would make them once more, as it goes below what makes them.
+    docs = t(spark, sf_dir, "documents").filter(F.col("text").rlike(r"[\p{L}\p{N}]{4}"))
+    ids = docs.select("doc_id", words.alias("words"))
+    lines = F.concat(F.array_join("words", "Handler2HTTPId\n"), F.lit("Handler2HTTPId"))
+    each = ids.select("doc_id", F.size("words").cast("long").alias("identifiers"), text.split_camel_lines(lines).alias("parts"))
     return each.select("doc_id", "identifiers", F.size("parts").cast("long").alias("pieces"), F.array_max(F.transform("parts", F.length)).cast("long").alias("longest"))
 
 

@@ -45,3 +45,18 @@ def test_bm25_reads_and_splits_texts_once(spark, tmp_path):
     kept, lazy = seed.bm25(df, ["doc_id"], terms, F.col("text"), stage=stage), seed.bm25(df, ["doc_id"], terms, F.col("text"))
     assert kept.count() == 6 and sorted(kept.collect()) == sorted(lazy.collect())
     stage.release()
+
+
+def test_camel_split_makes_words_once_and_splits_all_lines_at_once(spark, tmp_path):
+    got = queries.camel_split(spark, documents(spark, tmp_path))
+    assert plan(got).count("array_distinct(") == 1
+    assert len(re.findall(r"split\(", plan(got))) == 2 and "flatten" not in plan(got)
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()}[2] == (2, 8, 8)
+
+
+def test_camel_parts_of_lines_are_those_of_each_line(spark):
+    words = ["parseHTMLString2Foo", "ÉlanVITAL", "ǅAb", "aBC", "ABc", "x4X", "日本Ab", "éÉé", "A", "aA", "HTTPId", "\U0001d400b"]
+    plain = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+    rows = spark.createDataFrame([(words,)], "w array<string>")
+    want, one, lines = rows.select(F.flatten(F.transform("w", lambda w: F.split(w, plain))), F.flatten(F.transform("w", text.split_camel)), text.split_camel_lines(F.array_join("w", "\n"))).first()
+    assert want == one == lines and len(want) > len(words)
