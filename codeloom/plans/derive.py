@@ -6,7 +6,7 @@ are wanted, never what they may see.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import ancestors, default_qualifier, dir_of, internal_violation, is_relative, last_segment, module_path, module_relative, resolve_relative
@@ -138,9 +138,13 @@ def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFr
     # calls on a plain operand: the package's only visible method of that name
     methods = defs.filter("kind = 'method'").select("dir", "pkg", "name", "target_path", "qual_name", F.col("kind").alias("target_kind"), "in_test")
     d = rows.filter(method).join(methods, ["dir", "pkg", "name"]).filter(visible).select(*_REF, "target_path", "qual_name", "target_kind", F.lit("method").alias("via"))
-    found = stage.keep(a.unionByName(b).unionByName(c).unionByName(d).distinct(), "found")
-    sizes = found.groupBy(*_REF).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("via") == "own").alias("n_own"), F.count_if(F.col("via") == "dot").alias("n_dot"))
-    said = rows.join(sizes, _REF, "left").fillna(0, ["n", "n_own", "n_dot"])
+    # References and what they may mean lie together by file: after this one exchange, candidates are made distinct, counted and judged in place.
+    found = a.unionByName(b).unionByName(c).unionByName(d)
+    mark = F.col("via").isNull()
+    both = rows.select(*_REF, "name", "kind", "scope").unionByName(found, allowMissingColumns=True).repartition("path")
+    both = both.groupBy(*both.columns).agg(F.count(F.lit(1)).alias("times"))
+    ref = Window.partitionBy(*_REF)
+    said = both.select("*", F.count_if(~mark).over(ref).alias("n"), F.count_if(F.col("via") == "own").over(ref).alias("n_own"), F.count_if(F.col("via") == "dot").over(ref).alias("n_dot"))
     n = F.col("n")
     reason = (
         F.when(lexical, F.when((F.col("n_own") > 0) & (F.col("n_dot") > 0), "ambiguous_dot_import").when((n == 0) | (n > CANDIDATE_CAP), "no_candidate"))
@@ -153,11 +157,12 @@ def bind(files: DataFrame, symbols: DataFrame, refs: DataFrame, resolved: DataFr
         .when(n == 0, "no_candidate")
         .when(n > 1, "method_ambiguous")
     )
-    bindings = stage.keep(said.withColumn("unbound_reason", reason).select(*_REF, "unbound_reason", "scope"), "bindings")
-    bound = bindings.filter("unbound_reason IS NULL").select(*_REF)
-    targets = found.join(bound, _REF, "left_semi").select(*_REF, "target_path", "qual_name", F.col("target_kind").alias("kind"))
-    targets = stage.keep(targets, "targets")
-    return bindings.select(*_REF, "unbound_reason", F.col("scope").isin("repo", "external").alias("qualified")), targets
+    said = said.withColumn("unbound_reason", reason).withColumn("bound", F.max(mark & F.col("unbound_reason").isNull()).over(ref)).filter(mark | F.col("bound"))
+    said = stage.keep(said.select(*_REF, "scope", "unbound_reason", "times", "via", "target_path", "qual_name", "target_kind"), "bindings")
+    # A reference that stands in the facts more than once has as many rows.
+    bindings = said.filter(mark).select(*_REF, "unbound_reason", F.col("scope").isin("repo", "external").alias("qualified"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).drop("nth")
+    targets = said.filter(~mark).select(*_REF, "target_path", "qual_name", F.col("target_kind").alias("kind"))
+    return bindings, targets
 
 
 def link(files: DataFrame, resolved: DataFrame, targets: DataFrame) -> DataFrame:

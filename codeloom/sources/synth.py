@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.schemas import SCAN
 
-PER_PACKAGE, FUNCTIONS = 10, 8
+PER_PACKAGE, FUNCTIONS, PER_TASK = 10, 8, 10_000
 
 
 def synthetic_scan(spark: SparkSession, files: int, parts: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def synthetic_scan(spark: SparkSession, files: int, parts: int | None = None) ->
     )
     imports = F.when(pkg > 0, F.concat(F.lit('import "example.com/s/'), before, F.lit('"\n\nfunc Up'), n.cast("string"), F.lit("() int { return "), before, F.lit(".F"), (n - PER_PACKAGE).cast("string"), F.lit("_0(1) }\n\n"))).otherwise("")
     body = F.concat(F.lit("package "), name, F.lit("\n\n"), imports, F.lit("// T"), n.cast("string"), F.lit(" is a type.\ntype T"), n.cast("string"), F.lit(" struct{ n int }\n\nfunc (t T"), n.cast("string"), F.lit(") M"), n.cast("string"), F.lit("() int { return t.n }\n\n"), calls)
-    rows = spark.range(0, files, 1, parts or spark.sparkContext.defaultParallelism).select(F.concat(name, F.lit("/f"), n.cast("string"), F.lit(".go")).alias("path"), body.cast("binary").alias("content"))
+    rows = spark.range(0, files, 1, parts or max(spark.sparkContext.defaultParallelism, files // PER_TASK)).select(F.concat(name, F.lit("/f"), n.cast("string"), F.lit(".go")).alias("path"), body.cast("binary").alias("content"))
     mod = spark.createDataFrame([("go.mod", bytearray(b"module example.com/s\n"))], "path string, content binary")
     both = rows.unionByName(mod)
     return both.select("path", F.lit("go").alias("lang"), F.octet_length("content").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.sha2("content", 256).alias("hash"), F.lit(None).cast("string").alias("skip"), "content").select(*SCAN.names)

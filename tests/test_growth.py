@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from codeloom import queries
 from codeloom.functions import text
 from codeloom.operators import seed
+from codeloom.plans.derive import derive, release
 from codeloom.plans.stage import Stage
+from codeloom.sources import golang
+from codeloom.sources.facts import extract, fact_tables
+from codeloom.sources.synth import synthetic_scan
 
 ODD = ["", None, "Remember_Me Élan x-y", "  élan ELAN\n", "ŒUVRE İstanbul 42 ４２ ǅ", "elan", "elan's elanx x_elan\r\n", "\U0001d400\U0001d401 elan", "ýÿā.ąš ñ"]
 
@@ -60,3 +64,24 @@ def test_camel_parts_of_lines_are_those_of_each_line(spark):
     rows = spark.createDataFrame([(words,)], "w array<string>")
     want, one, lines = rows.select(F.flatten(F.transform("w", lambda w: F.split(w, plain))), F.flatten(F.transform("w", text.split_camel)), text.split_camel_lines(F.array_join("w", "\n"))).first()
     assert want == one == lines and len(want) > len(words)
+
+
+def test_scanner_takes_no_step_for_white_space():
+    assert [(m.lastgroup, m[m.lastindex]) for m in golang._TOKEN.finditer("a  b\tc  ")][:4] == [("name", "a"), ("name", "b"), ("name", "c"), ("end", "")]
+    assert golang.parse(b"package a  \n \t\nfunc F() { @ }\n\nfunc G() {}  ").status == "partial"
+
+
+def test_references_are_judged_after_one_exchange(spark, monkeypatch):
+    kept = {}
+    keep = Stage.keep
+    monkeypatch.setattr(Stage, "keep", lambda self, df, name: kept.setdefault(name, df) and keep(self, df, name))
+    scan = synthetic_scan(spark, 30)
+    parsed = keep(Stage(spark), extract(scan), "parsed")
+    facts = fact_tables(scan, parsed)
+    facts["refs"] = facts["refs"].union(facts["refs"])  # each reference twice in the facts: as many bindings, targets once
+    out = derive(facts)
+    assert set(kept) == {"files", "manifests", "resolved", "defs", "rows", "bindings"}
+    assert out["bindings"].count() == facts["refs"].count()
+    assert out["binding_targets"].count() == out["binding_targets"].distinct().count() > 0
+    assert {r["kind"]: r["count"] for r in out["edges"].groupBy("kind").count().collect()} == {"import_out": 200, "ref_def": 20}
+    release(out)
